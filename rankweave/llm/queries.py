@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rankweave.llm import mixing
+from rankweave.llm import mixing, packing
 
 
 def queries() -> dict:
     return {
+        "op8_pack_documents": packing.op8_pack_documents,
         "op9_mix_sources": mixing.op9_mix_sources,
     }
 
