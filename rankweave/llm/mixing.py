@@ -76,7 +76,7 @@ def _in_order(sized: DataFrame, targets: DataFrame, n_docs: int) -> DataFrame:
     of the order by prefix of perm, then the rows of a bucket.
     """
     digits = min(8, max(0, math.ceil(math.log(max(1, n_docs / BUCKET_DOCS), 16))))
-    rows = sized.join(F.broadcast(targets.drop("n_docs")), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    rows = sized.join(targets.drop("n_docs"), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rows = rows.withColumn("bucket", F.substring("perm", 1, digits))
     buckets = rows.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,7 +147,7 @@ def mix_pieces(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoch
     left = F.greatest(F.col("low"), F.col("block") * block)
     right = F.least(F.col("high"), (F.col("block") + 1) * block)
     cut = cut.withColumns({"first_word": left - F.col("low"), "n_words": right - left})
-    pieces = cut.join(blocks, ["src", "block"])
+    pieces = cut.join(blocks.hint("merge"), ["src", "block"])
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "src", "block"), "src", "block", "low", "nth")
     pieces = pieces.withColumn("position", F.row_number().over(local))
     return pieces.select("shard", "position", "source", "doc_id", "first_word", "n_words", "epoch", "src", "bucket", "nth"), rows.select("doc_id", "source", "size", "source_size", "target", "src", "bucket", "nth")

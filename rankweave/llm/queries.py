@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rankweave.llm import mixing, packing
+from rankweave.llm import mixing, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op8_pack_documents": packing.op8_pack_documents,
         "op9_mix_sources": mixing.op9_mix_sources,
+        "op10_simhash_near_duplicates": simhash.op10_simhash_near_duplicates,
     }
 
 
