@@ -17,6 +17,8 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import re
+import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,44 +33,91 @@ from rankweave.llm.shared import table, written
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker keeps with their ids; the cache starts anew beyond.
-CACHED_WORDS = 400_000
+#: A worker keeps no more words with their ids, once it has so many.
+CACHED_WORDS = 300_000
 #: Branch and bound: decisions at most in all, fillings looked at per decision, items of an enumerated filling.
 DECISIONS, FILLINGS, DEPTH = 12_000, 6, 3
 
-_cache: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+class _Words(dict):
+    """Ids of words, with those of the batch at hand in `batch`."""
 
+    batch: dict[bytes, bytes]
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+    def __missing__(self, word: bytes) -> bytes:
+        return self.batch[word]
 
 
-def ids_of(texts: list[str | None], path: str) -> list[bytes]:
-    """Token ids of each text as little-endian 32-bit integers, without special tokens.
+class WordIds:
+    """Token ids of texts by their words, which come back often and are kept.
 
-    The tokenizer drops white space and never merges across it, so a text's
-    ids are those of its words; words come back often and are kept.
+    The tokenizer lower-cases, drops white space and never merges across it,
+    nor across a boundary of letters and punctuation: a text's ids are those of
+    its lower-cased words, and "word.," has those of "word" and ".,". New words
+    of plain letters are one pre-token each, whose last id ends a word, so many
+    are encoded at a time and told apart by their ends.
     """
-    if path not in _cache:
+
+    PUNCTUATION = string.punctuation.encode()
+    LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True
-        _cache[path] = found, {}
-    tokenizer, known = _cache[path]
-    split = [(t or "").encode().split() for t in texts]
-    new = list(set().union(*split) - known.keys())
-    if len(known) + len(new) > CACHED_WORDS:
-        known.clear()
-        new = list(set().union(*split))
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        coded = tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, coded))
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
+        self.known = _Words()
+
+    def _encode_each(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {word: np.array(coded.ids, dtype="<u4").tobytes() for word, coded in zip(words, found)}
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        bodies = {w: b for w in words if len(b := w.rstrip(self.PUNCTUATION)) < len(w) and b and b[-1] < 128}
+        tails = {w: w[len(b) :] for w, b in bodies.items()}
+        whole = {*bodies.values(), *tails.values(), *(w for w in words if w not in bodies)} - self.known.keys()
+        plain, found = [], {}
+        for word in whole:
+            if self.LETTERS.fullmatch(text := word.decode()):
+                plain.append((word, text))
+        for low in range(0, len(plain), 1024):
+            some = plain[low : low + 1024]
+            coded = self.tokenizer.encode_batch_fast([" ".join([text for _, text in some])], add_special_tokens=False)[0].ids
+            ids = np.array(coded, dtype="<u4")
+            at, raw = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
+            if len(at) == len(some):
+                found.update(zip([word for word, _ in some], (raw[a:b] for a, b in zip([0, *at], at))))
+        found |= self._encode_each([w for w in whole if w not in found])
+        get = lambda w: found[w] if w in found else self.known[w]
+        return found | {w: get(b) + get(tails[w]) for w, b in bodies.items()}
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers, without special tokens."""
+        split = [(t or "").encode().lower().split() for t in texts]
+        new = self._encode(list(set().union(*split) - self.known.keys()))
+        self.known.batch = new
+        if len(self.known) < CACHED_WORDS:
+            self.known.update(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+_coders: dict[str, WordIds] = {}
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def ids_of(texts: list[str | None], path: str) -> list[bytes]:
+    """WordIds.of with the coder that this worker keeps."""
+    if path not in _coders:
+        _coders[path] = WordIds(path)
+    return _coders[path].of(texts)
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -79,8 +128,8 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                some = batch.slice(low, 2000)
+            for low in range(0, batch.num_rows, 1000):
+                some = batch.slice(low, 1000)
                 rows, numbers, starts, sizes, sums, ids = [], [], [], [], [], []
                 for row, own in enumerate(ids_of(some.column(1).to_pylist(), path)):
                     own += end
