@@ -315,7 +315,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, decisions: int = DECISIONS
     length_of, first, sequence, offset = plan_slots(BinCompletion(counts, capacity, decisions).solve()) if counts.any() else (np.zeros(0, np.int64),) * 4
     keys = (length_of << 44) + first
 
-    n_buckets = max(1, int(counts.sum()) // 20_000)
+    n_buckets = max(1, int(counts.sum()) // 2_000)
     rows = pieces.withColumn("rank_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets)))
     sizes = rows.groupBy("length", "rank_bucket").agg(F.count("*").alias("bucket_rows"))
     ahead = Window.partitionBy("length").orderBy("rank_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rankweave.llm import mixing, packing, quality, simhash
+from rankweave.llm import mixing, packing, pii, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op3_quality_rules": quality.op3_quality_rules,
+        "op4_personal_data": pii.op4_personal_data,
         "op8_pack_documents": packing.op8_pack_documents,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_simhash_near_duplicates": simhash.op10_simhash_near_duplicates,
