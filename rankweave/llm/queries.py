@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from rankweave.llm import mixing, packing, pii, quality, simhash
+from rankweave.llm import embedding, mixing, packing, pii, quality, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op2_warc_pages": warc.op2_warc_pages,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_personal_data": pii.op4_personal_data,
+        "op7_embedding_near_duplicates": embedding.op7_embedding_near_duplicates,
         "op8_pack_documents": packing.op8_pack_documents,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_simhash_near_duplicates": simhash.op10_simhash_near_duplicates,
@@ -17,5 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc_pages": warc.ORACLE_SQL,
+        "op7_embedding_near_duplicates": embedding.ORACLE_SQL,
         "op9_mix_sources": mixing.ORACLE_SQL,
     }
