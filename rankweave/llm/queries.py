@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rankweave.llm import embedding, mixing, packing, pii, quality, simhash, toxicity, warc
+from rankweave.llm import contextmix, embedding, mixing, packing, pii, quality, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_language_model": contextmix.op1_language_model,
         "op2_warc_pages": warc.op2_warc_pages,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_personal_data": pii.op4_personal_data,
