@@ -101,19 +101,22 @@ HINTS = {
 }
 HINT_OF = {word: name for name, words in HINTS.items() for word in words}
 EDGE = ".,;:!?\"'"
+PLAIN = ("plain",)
 
 
 def features(word: str) -> tuple[str, ...]:
     """Word-shape features; their tuple is all that the field sees of a word."""
     bare = word.strip(EDGE)
     low = bare.lower()
+    if bare.isalpha() and low not in HINT_OF:
+        return PLAIN
     shape = re.sub("[0-9]+", "9", re.sub("[A-Z]", "X", re.sub("[a-zß-ɏ]", "x", bare)))
     shape = re.sub(r"(.)\1+", r"\1", shape)[:12]
     digits = len(DIGIT.findall(bare))
     runs = [len(r) for r in DIGIT_RUN.findall(bare)][:5]
     hint = HINT_OF.get(low.strip("()[]{}") if low not in HINT_OF else low, "")
     if not digits and not hint and "@" not in bare and ":" not in bare and not ("." in bare and bare.isascii()):
-        return ("plain",)
+        return PLAIN
     found = [f"shape={shape}", f"digits={min(digits, 20)}", "runs=" + "-".join(map(str, runs)), f"hint={hint}"]
     found += [name for name, mark in (("has@", "@"), ("has+", "+"), ("has(", "("), ("has.", "."), ("has-", "-"), ("has:", ":")) if mark in bare]
     if hint:
@@ -237,6 +240,8 @@ class Field:
         self.width = len(self.names)
         self.tables: list[np.ndarray] = [np.zeros((1, self.LABELS)) for _ in range(3)]
         self.number: dict[tuple[str, ...] | None, int] = {None: 0}
+        self.met: dict[bytes, int] = {}
+        self.name = hashlib.sha256(self.weights.tobytes() + self.moves.tobytes()).hexdigest()
         gain = self.moves - self.moves[:, :1]
         into, out = gain[:, 1:].max(axis=0), (self.moves - self.moves[:1, :])[1:].max(axis=1)
         self.lead = into + out
@@ -315,22 +320,21 @@ def plausible(kind: int, text: str) -> bool:
     return 8 <= digits <= 15 and bool(re.fullmatch(r"\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}", text))
 
 
-#: Words that a worker keeps with their feature tuples.
+#: Words that a worker keeps with their rows of the field's tables; the fields that it has met.
 CACHED_WORDS = 200_000
-_seen: dict[bytes, int] = {}
+_fields: dict[str, Field] = {}
 
 
 def field_spans(texts: list[str], field: Field) -> list[list[Span]]:
     """Spans of the field in each text."""
+    field = _fields.setdefault(field.name, field)
     split = [t.encode().split() for t in texts]
-    new = set().union(*split) - _seen.keys()
-    if len(_seen) > CACHED_WORDS:
-        _seen.clear()
-        new = set().union(*split)
-    for word in new:
-        _seen[word] = field.key(features(word.decode()))
+    if len(field.met) > CACHED_WORDS:
+        field.met.clear()
+    for word in set().union(*split) - field.met.keys():
+        field.met[word] = field.key(features(word.decode()))
     sizes = np.array([len(words) for words in split], dtype=np.int64)
-    keys = np.fromiter((_seen[w] for words in split for w in words), np.int64, int(sizes.sum()))
+    keys = np.fromiter((field.met[w] for words in split for w in words), np.int64, int(sizes.sum()))
     first = np.zeros(len(keys), bool)
     starts = np.cumsum(sizes) - sizes
     first[starts[sizes > 0]] = True
