@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import table, word_count, written
+from rankweave.llm.shared import WORD, table, word_count, written
 
 #: Weights by rank of the source, repeating; share of all words to take; passes over a source at most.
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2
@@ -38,8 +38,13 @@ BUCKET_DOCS = 2048
 
 def sized_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, perm): one row per document; perm is its place in the random order."""
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("perm"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), content_key().alias("perm"))
+
+
+def content_key() -> Column:
+    """MD5 of a row's doc_id and text."""
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -150,7 +155,7 @@ def mix_pieces(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoch
     pieces = cut.join(blocks.hint("merge"), ["src", "block"])
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "src", "block"), "src", "block", "low", "nth")
     pieces = pieces.withColumn("position", F.row_number().over(local))
-    return pieces.select("shard", "position", "source", "doc_id", "first_word", "n_words", "epoch", "src", "bucket", "nth"), rows.select("doc_id", "source", "size", "source_size", "target", "src", "bucket", "nth")
+    return pieces.select("shard", "position", "source", "doc_id", "first_word", "n_words", "epoch", "src", "bucket", "nth"), rows.select("doc_id", "source", "size", "source_size", "target", "perm", "src", "bucket", "nth")
 
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
@@ -161,6 +166,25 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents, with all columns of docs: a row for each pass over a document that takes words of it.
+
+    A document of which a pass takes only the first words has those in text,
+    with one space between them; n_chars, where there is one, is counted anew.
+    """
+    pieces, rows = mix_pieces(docs, **options)
+    took = pieces.groupBy("src", "bucket", "nth", "epoch").agg(F.sum("n_words").alias("words to take"))
+    took = took.join(rows.select("src", "bucket", "nth", "perm", "size"), ["src", "bucket", "nth"])
+    took = took.select(F.col("perm").alias("content key"), "words to take", F.col("size").alias("all its words"))
+    keyed = docs.withColumn("content key", content_key()).dropDuplicates(["content key"])
+    out = keyed.join(took, "content key")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("words to take").cast("int")), " ")
+    out = out.withColumn("text", F.when(F.col("words to take") < F.col("all its words"), first).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 

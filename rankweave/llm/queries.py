@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankweave.llm import contextmix, embedding, mixing, packing, pii, quality, simhash, toxicity, warc
+from rankweave.llm import contextmix, embedding, mixing, packing, pii, quality, simhash, tokencount, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_warc_pages": warc.op2_warc_pages,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_personal_data": pii.op4_personal_data,
+        "op5_token_counts": tokencount.op5_token_counts,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_embedding_near_duplicates": embedding.op7_embedding_near_duplicates,
         "op8_pack_documents": packing.op8_pack_documents,

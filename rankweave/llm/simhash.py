@@ -173,6 +173,20 @@ def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
     return prints.join(roots.join(named, "root").select("fp", "component_id"), "fp")
 
 
+def one_of_each_group(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates, with all its columns.
+
+    Of rows with one doc_id one stays; without a doc_id in its group, all rows stay.
+    """
+    found = written(near_duplicates(docs, most), "near")
+    again = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    kept = docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    single = kept.join(again, "doc_id", "left_anti")
+    several = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null") if found.where("component_id is null").limit(1).count() else docs.where("false")
+    return single.select(docs.columns).union(several.select(docs.columns)).union(nameless)
+
+
 def op10_simhash_near_duplicates(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
