@@ -7,7 +7,6 @@ read again. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rankweave import ship
 from rankweave.llm import mixing, packing, pii, quality, simhash
@@ -17,8 +16,7 @@ from rankweave.llm.shared import table, written
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ship(spark)
-    judged = quality.judge(docs, quality.references(docs), carry=tuple(docs.columns))
-    return judged.where(F.col("kept")).select(docs.columns)
+    return quality.good_documents(docs, quality.references(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ the counts of character classes and of its `COMMON` most frequent words. A
 document is compared with each reference by Jensen-Shannon distance (base 2,
 the root of the divergence), and its nearest one counts. Short texts differ
 from any reference by chance, so a limit falls with the root of the number of
-words, and below a minimum length the comparison is not made.
+words, and below a minimum length the comparison is not made. At the length
+from which character classes are compared, a text without any common word of
+any language, as far from the references as texts can be, is not kept either.
 
 Defined cases: a text that is null, empty or without words fails the base rule
 (no words) and has no distances; a null lang is a language of its own; ties
@@ -188,7 +190,8 @@ def judge(docs: DataFrame, known: list[Reference], carry: tuple[str, ...] = ("do
                 root = np.sqrt(np.maximum(n_words, 1))
                 compared = [(n_words >= least) & bool(known) for least in (CLASS_WORDS, COMMON_WORDS)]
                 far = [c & (d > base + slope / root) for c, d, (base, slope) in zip(compared, (class_far, common_far), (CLASS_LIMIT, COMMON_LIMIT))]
-                kept = ~failed & ~far[0] & ~far[1]
+                strange = compared[0] & (common[:, :none].sum(axis=1) == 0)
+                kept = ~failed & ~far[0] & ~far[1] & ~strange
                 arrays = [batch.column(i) for i in range(len(carry))] + [pa.array(measures[:, i]) for i in range(5)] + [pa.array(failed), pa.array(kept)]
                 arrays += [pa.array(d, mask=~c) for c, d in zip(compared, (class_far, common_far))]
                 yield pa.RecordBatch.from_arrays(arrays, [*carry, *(x.split()[0] for x in MEASURES.split(", "))])
@@ -197,6 +200,14 @@ def judge(docs: DataFrame, known: list[Reference], carry: tuple[str, ...] = ("do
     return docs.select(*carry, F.col("text").alias("text to judge")).mapInArrow(run, f"{schema}, {MEASURES}")
 
 
+def good_documents(docs: DataFrame, known: list[Reference]) -> DataFrame:
+    """The documents that are kept, with their columns, whatever these are called."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*plain)
+    judged = judge(renamed.withColumn("text", F.col(plain[docs.columns.index("text")])), known, carry=tuple(plain))
+    return judged.where("kept").select(*[F.col(c).alias(name) for c, name in zip(plain, docs.columns)])
+
+
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, references(docs))
