@@ -17,9 +17,22 @@ from rankweave.operators import codec, dense, encode, interact, rank, retrieve,
 DEPTH, WINDOW, NBITS = 100, 3, 2
 
 
+#: An input of fewer bytes a core is dealt anew over all cores; larger ones are read as they are split.
+SMALL = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals a small input over all cores: a file of one row group is one task otherwise."""
+    context = rows.sparkSession.sparkContext
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(context.defaultParallelism) if size < SMALL * context.defaultParallelism else rows
+
+
 class Collection:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    """keep_tokens: whether token arrays are kept between the plans that read them, in memory or else on local disks."""
+
+    def __init__(self, spark: SparkSession, folder: str, keep_tokens: bool = True):
+        self.spark, self.folder, self.keep_tokens = spark, folder, keep_tokens
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -34,7 +47,8 @@ class Collection:
 
     @cached_property
     def darr(self) -> DataFrame:
-        return stats.token_arrays(self.docs)
+        arrays = stats.token_arrays(spread(self.docs.select("doc_id", "text")))
+        return arrays.persist() if self.keep_tokens else arrays
 
     @cached_property
     def qarr(self) -> DataFrame:
