@@ -40,16 +40,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int | None, similarity: str =
                     if drop_self:
                         ids = batch.column(0).to_numpy(zero_copy_only=False)
                         scores[qids.to_numpy(zero_copy_only=False)[:, None] == ids[None, :]] = -np.inf
-                    if k is not None and scores.shape[1] > k:
-                        ids = batch.column(0).to_numpy(zero_copy_only=False)
-                        order = np.argsort(ids, kind="stable")  # ties go to the smaller doc_id
-                        best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-                    else:
-                        best = np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-                    values = np.take_along_axis(scores, best, axis=1)
-                    good = np.isfinite(values)
-                    rows = np.repeat(np.arange(len(scores)), good.sum(axis=1))
-                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(rows)), batch.column(0).take(pa.array(best[good])), pa.array(values[good])], ["qid", "doc_id", "score"])
+                    yield best_of_each(scores, qids, batch.column(0), k)
 
         part = docs.select("doc_id", "vec").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -57,6 +48,19 @@ def search(docs: DataFrame, queries: DataFrame, k: int | None, similarity: str =
     return rank.ranked(run_) if k is None else rank.top_k(run_, k)
 
 
+def best_of_each(scores: np.ndarray, qids: pa.Array, doc_ids: pa.Array, k: int | None) -> pa.RecordBatch:
+    """Rows (qid, doc_id, score) of the k best finite scores [queries, documents] of each query; ties go to the smaller id."""
+    if k is not None and scores.shape[1] > k:
+        order = np.argsort(doc_ids.to_numpy(zero_copy_only=False), kind="stable")
+        best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+    else:
+        best = np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+    values = np.take_along_axis(scores, best, axis=1)
+    good = np.isfinite(values)
+    rows = np.repeat(np.arange(len(scores)), good.sum(axis=1))
+    return pa.RecordBatch.from_arrays([qids.take(pa.array(rows)), doc_ids.take(pa.array(best[good])), pa.array(values[good])], ["qid", "doc_id", "score"])
+
+
 def _groups(queries: DataFrame) -> Iterator[list[tuple]]:
     group = []
     for row in queries.select("qid", "vec").orderBy("qid").toLocalIterator():

@@ -57,6 +57,28 @@ class TwoTowers:
         self.query, self.document = query, document or query
 
 
+def sides(encoder: Encoder | TwoTowers) -> tuple[Encoder, Encoder]:
+    """(encoder of queries, encoder of documents)."""
+    return (encoder.query, encoder.document) if isinstance(encoder, TwoTowers) else (encoder, encoder)
+
+
+class Projected:
+    """An encoder's vectors through a linear head, a layer norm and relu, as far as they are given."""
+
+    def __init__(self, encoder: Encoder, matrix: np.ndarray, bias: np.ndarray | None = None, norm: tuple[np.ndarray, np.ndarray] | None = None, relu: bool = False, epsilon: float = 1e-12):
+        self.encoder, self.matrix, self.bias, self.norm, self.relu, self.epsilon = encoder, matrix, bias, norm, relu, epsilon
+        self.dim = matrix.shape[1]
+
+    def encode(self, tokens: list[str]) -> np.ndarray:
+        out = self.encoder.encode(tokens) @ self.matrix
+        if self.bias is not None:
+            out = out + self.bias
+        if self.norm is not None:
+            gain, shift = self.norm
+            out = (out - out.mean(axis=1, keepdims=True)) / np.sqrt(out.var(axis=1, keepdims=True) + self.epsilon) * gain + shift
+        return np.maximum(out, 0) if self.relu else out
+
+
 def local_average(vectors: np.ndarray, window: int) -> np.ndarray:
     """Mean of rows i - window ... i + window - 1, cut at both ends."""
     if window < 1:
@@ -125,5 +147,11 @@ def mean_vectors(weighted: DataFrame, encoder: Encoder, key: str = "doc_id") ->
 
 def mean_pooled(arrays: DataFrame, encoder: Encoder, key: str = "doc_id") -> DataFrame:
     """(key, vec): plain mean of token vectors; texts without tokens are absent."""
-    ones = F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("w")))
-    return mean_vectors(arrays.where("size(tokens) > 0").select(key, ones.alias("terms")), encoder, key)
+    kind = arrays.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [encoder.encode(tokens).mean(axis=0).tolist() for tokens in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], [key, "vec"])
+
+    return arrays.where("size(tokens) > 0").select(key, "tokens").mapInArrow(run, f"{key} {kind}, vec array<double>")

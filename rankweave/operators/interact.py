@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import weights
 from rankweave.operators import stats
-from rankweave.operators.encode import Encoder, pooled
+from rankweave.operators.encode import Encoder, TwoTowers, pooled, sides
 
 MOST_QUERY_TOKENS = 100_000
 SCORERS = ("maxsim_bm25_qtf", "maxsim_qtf", "maxsim_idf_qtf", "maxsim_tfidf")
@@ -61,7 +61,7 @@ def query_groups(query_arrays: DataFrame, most: int = MOST_QUERY_TOKENS) -> Iter
 MATCH = "qid {kind}, doc_id {doc}, doc_len long, term string, tf long, qtf long, total double, best double"
 
 
-def exact_matches(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder, candidates: DataFrame | None = None, pooler: str = "local_average", window: int = 3) -> DataFrame:
+def exact_matches(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder | TwoTowers, candidates: DataFrame | None = None, pooler: str = "local_average", window: int = 3) -> DataFrame:
     """(qid, doc_id, doc_len, term, tf, qtf, total, best): one row per query, document and shared term.
 
     total: sum over the query's positions of the term of the largest relu of
@@ -74,11 +74,12 @@ def exact_matches(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encod
     if candidates is not None:
         wanted = candidates.groupBy("doc_id").agg(F.collect_set("qid").alias("wanted"))
         rows = rows.join(wanted, "doc_id")
+    asking, encoder = sides(encoder)
     schema = MATCH.format(kind=kind, doc=doc)
     names = [x.split()[0] for x in schema.split(", ")]
     out = None
     for group in query_groups(query_arrays):
-        pack = QueryPack(group, encoder, pooler, window)
+        pack = QueryPack(group, asking, pooler, window)
 
         def run(batches: Iterator[pa.RecordBatch], pack: QueryPack = pack) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -134,22 +135,35 @@ def scored(matches: DataFrame, term_idf: DataFrame, mean_len: DataFrame, scorers
     return rows.groupBy("qid", "doc_id").agg(*(F.sum(of[s]).alias(s) for s in scorers))
 
 
-def cbm25(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder, candidates: DataFrame | None = None, k1: float = weights.RERANK[0], b: float = weights.RERANK[1], window: int = 3, scorers: tuple[str, ...] = ("maxsim_bm25_qtf",), drop_self: bool = False) -> DataFrame:
+def cbm25(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder | TwoTowers, candidates: DataFrame | None = None, k1: float = weights.RERANK[0], b: float = weights.RERANK[1], window: int = 3, scorers: tuple[str, ...] = ("maxsim_bm25_qtf",), drop_self: bool = False) -> DataFrame:
     """Contextual BM25 of candidates, or of the whole corpus without them."""
     matches = exact_matches(doc_arrays, query_arrays, encoder, candidates, window=window)
-    known = stats.idf(stats.document_frequency(stats.term_frequency(doc_arrays)), stats.summary(doc_arrays))
-    return scored(matches, known, stats.summary(doc_arrays), scorers, k1, b, drop_self)
+    return scored(matches, query_term_idf(doc_arrays, query_arrays), stats.summary(doc_arrays), scorers, k1, b, drop_self)
+
+
+def query_term_idf(doc_arrays: DataFrame, query_arrays: DataFrame) -> DataFrame:
+    """(term, df, idf) of the terms that queries and documents share, in one pass over the documents."""
+    terms: dict[str, int] = {}
+    for group in query_groups(query_arrays):
+        for _, tokens in group:
+            for token in tokens:
+                terms.setdefault(token, len(terms))
+    n_docs, _, df = stats.term_counts(doc_arrays, terms)
+    rows = [(term, int(df[at]), float(np.log(n_docs / df[at]))) for term, at in terms.items() if df[at]]
+    return doc_arrays.sparkSession.createDataFrame(rows, "term string, df long, idf double")
 
 
 METRICS = ("cosine", "l2")
 
 
-def all_pairs(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder, candidates: DataFrame, metric: str = "cosine", pooler: str = "token") -> DataFrame:
+def all_pairs(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder | TwoTowers, candidates: DataFrame, metric: str = "cosine", pooler: str = "token", masked: frozenset[str] = frozenset()) -> DataFrame:
     """(qid, doc_id, score): for each query token the best of all document tokens, summed.
 
     metric: dot product of unit vectors, or minus their squared distance.
-    Pairs are those of candidates.
+    Pairs are those of candidates. Document tokens that are masked, such as
+    punctuation, have zero vectors, and so a match of 0 at least.
     """
+    asking, encoder = sides(encoder)
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     kind, doc = query_arrays.schema["qid"].dataType.simpleString(), doc_arrays.schema["doc_id"].dataType.simpleString()
@@ -157,7 +171,7 @@ def all_pairs(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder,
     rows = doc_arrays.select("doc_id", "tokens").join(wanted, "doc_id")
     out = None
     for group in query_groups(query_arrays):
-        pack = QueryPack(group, encoder, pooler)
+        pack = QueryPack(group, asking, pooler)
         number = {q: n for n, q in enumerate(pack.qids)}
 
         def run(batches: Iterator[pa.RecordBatch], pack: QueryPack = pack, number: dict = number) -> Iterator[pa.RecordBatch]:
@@ -166,7 +180,9 @@ def all_pairs(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder,
                 for row, (tokens, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                     if not tokens:
                         continue
-                    vectors = pooled(encoder, list(dict.fromkeys(tokens)) if pooler == "token" else tokens, pooler)
+                    words = list(dict.fromkeys(tokens)) if pooler == "token" else tokens
+                    vectors = pooled(encoder, words, pooler)
+                    vectors[[w in masked for w in words]] = 0
                     for qid in own:
                         if qid not in number or not len(pack.vectors[number[qid]]):
                             continue

@@ -2,23 +2,92 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.operators import rank, stats
+from rankweave.operators.dense import best_of_each
+from rankweave.operators.interact import query_groups
+
+METHODS = ("kernel", "relational")
+#: Scores that a task holds at a time.
+HELD = 1 << 22
 
 
-def bm25(doc_arrays: DataFrame, query_arrays: DataFrame, k: int | None, k1: float = 0.9, b: float = 0.4, kind: str = "plain") -> DataFrame:
+def bm25(doc_arrays: DataFrame, query_arrays: DataFrame, k: int | None, k1: float = 0.9, b: float = 0.4, kind: str = "plain", method: str = "kernel") -> DataFrame:
     """(qid, doc_id, score, rank): sum of posting weights over query tokens, repeats counted.
 
-    Postings are cut to the query terms before they are weighted; documents
-    without any query term are absent.
+    Documents without any query term are absent. kernel: the queries, in
+    groups of bounded size, travel to the documents, which are read twice, for
+    the frequencies of the query terms and for the scores; each task keeps its
+    k best. relational: postings of the query terms are joined with the
+    queries, so every scored pair is exchanged.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method: {method}")
+    if kind not in ("plain", "smooth"):
+        raise ValueError(f"unknown idf: {kind}")
+    run = _relational(doc_arrays, query_arrays, k1, b, kind) if method == "relational" else _by_kernel(doc_arrays, query_arrays, k, k1, b, kind)
+    return rank.ranked(run) if k is None else rank.top_k(run, k)
+
+
+def _relational(doc_arrays: DataFrame, query_arrays: DataFrame, k1: float, b: float, kind: str) -> DataFrame:
     query_tf = stats.term_frequency(query_arrays, "qid").withColumnRenamed("tf", "qtf")
     postings = stats.posting_weights(doc_arrays, k1, b, kind, terms=query_tf)
     run = postings.join(query_tf, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
-    run = rank.rounded(run)
-    return rank.ranked(run) if k is None else rank.top_k(run, k)
+    return rank.rounded(run)
+
+
+def _by_kernel(doc_arrays: DataFrame, query_arrays: DataFrame, k: int | None, k1: float, b: float, kind: str) -> DataFrame:
+    qid_kind, doc = query_arrays.schema["qid"].dataType.simpleString(), doc_arrays.schema["doc_id"].dataType.simpleString()
+    schema = f"qid {qid_kind}, doc_id {doc}, score double"
+    out = None
+    for group in query_groups(query_arrays):
+        terms: dict[str, int] = {}
+        pairs: dict[tuple[int, int], int] = {}
+        for q, (_, tokens) in enumerate(group):
+            for token in tokens:
+                key = terms.setdefault(token, len(terms)), q
+                pairs[key] = pairs.get(key, 0) + 1
+        order = sorted(pairs)
+        owner = np.array([q for _, q in order], np.int64)
+        repeats = np.array([pairs[x] for x in order], np.float64)
+        bounds = np.searchsorted(np.array([t for t, _ in order], np.int64), np.arange(len(terms) + 1))
+        n_docs, n_tokens, df = stats.term_counts(doc_arrays, terms)
+        df = np.maximum(df, 1)
+        idf = np.log(n_docs / df) if kind == "plain" else np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        gain, mean = (1 + k1 if kind == "plain" else 1.0), n_tokens / max(n_docs, 1)
+        qids = pa.array([q for q, _ in group])
+        n = len(group)
+
+        def run(batches: Iterator[pa.RecordBatch], terms=terms, owner=owner, repeats=repeats, bounds=bounds, idf=idf, gain=gain, mean=mean, qids=qids, n=n) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                step = max(16, HELD // max(n, 1))
+                for low in range(0, whole.num_rows, step):
+                    batch = whole.slice(low, step)
+                    scores = np.full((n, batch.num_rows), -np.inf)
+                    for row, tokens in enumerate(batch.column(1).to_pylist()):
+                        found = [t for t in map(terms.get, tokens) if t is not None]
+                        if not found:
+                            continue
+                        own, tf = np.unique(np.array(found), return_counts=True)
+                        weight = idf[own] * (tf * gain / (tf + k1 * (1 - b + b * len(tokens) / mean)))
+                        size = bounds[own + 1] - bounds[own]
+                        at = np.repeat(bounds[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                        to = owner[at]
+                        total = np.bincount(to, np.repeat(weight, size) * repeats[at], minlength=n)
+                        hit = np.zeros(n, bool)
+                        hit[to] = True
+                        scores[hit, row] = total[hit]
+                    yield best_of_each(np.round(scores, rank.DIGITS), qids, batch.column(0), k)
+
+        part = doc_arrays.select("doc_id", "tokens").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else doc_arrays.sparkSession.createDataFrame([], schema)
 
 
 def postings_score(postings: DataFrame, query_weights: DataFrame) -> DataFrame:

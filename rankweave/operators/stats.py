@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +93,24 @@ def offsets(counts: DataFrame) -> DataFrame:
     inner = Window.partitionBy("head").orderBy("term").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(heads, "head")
     return rows.select("term", (F.col("before") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("offset"), "n")
+
+
+def term_counts(doc_arrays: DataFrame, terms: dict[str, int]) -> tuple[int, int, np.ndarray]:
+    """(documents, tokens, documents with each of the terms), in one pass that sends a number per term and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, docs, tokens = np.zeros(len(terms), np.int64), 0, 0
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                docs, tokens = docs + 1, tokens + len(words)
+                counts[[terms[w] for w in terms.keys() & set(words)]] += 1
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *used.tolist()], pa.int64()), pa.array([docs, tokens, *counts[used].tolist()], pa.int64())], ["at", "n"])
+
+    counts, total = np.zeros(len(terms), np.int64), {-2: 0, -1: 0}
+    for row in doc_arrays.select("tokens").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        if row["at"] < 0:
+            total[row["at"]] = row.n
+        else:
+            counts[row["at"]] = row.n
+    return total[-2], total[-1], counts

@@ -242,7 +242,7 @@ def q_cbm25(c):
 
 
 def one_scorer(c: Collection, name: str, matches: DataFrame | None = None) -> DataFrame:
-    scored = interact.scored(c.matches if matches is None else matches, c.idf, c.summary, (name,))
+    scored = interact.scored(c.matches if matches is None else matches, c.query_idf, c.summary, (name,))
     return rank.rounded(scored.select("qid", "doc_id", F.col(name).alias("score")))
 
 
@@ -264,7 +264,7 @@ def q_coil_tfidf(c):
 @plan
 def q_coil_multi(c):
     names = interact.SCORERS[:3]
-    scored = interact.scored(c.matches, c.idf, c.summary, names)
+    scored = interact.scored(c.matches, c.query_idf, c.summary, names)
     return rank.rounded(scored.unpivot(["qid", "doc_id"], list(names), "func", "score"))
 
 
@@ -287,7 +287,7 @@ def q_coil_full(c):
 @plan
 def q_coil_full_weighted(c):
     """Learned weights of terms are stood in for by idf, known for terms in two documents or more."""
-    w = c.idf.where("df >= 2").select("term", F.col("idf").alias("w"))
+    w = c.query_idf.where("df >= 2").select("term", F.col("idf").alias("w"))
     matches = interact.exact_matches(c.darr, c.qarr, c.encoder, window=WINDOW).join(w, "term", "left")
     run = matches.groupBy("qid", "doc_id").agg(F.sum(F.col("total") * F.coalesce("w", F.lit(1.0))).alias("score"))
     return shown(rank.top_k(rank.rounded(run), DEPTH))

@@ -7,8 +7,10 @@ Runs are small (queries times depth), are used by many plans, and are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,30 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(context.defaultParallelism) if size < SMALL * context.defaultParallelism else rows
 
 
+def holding(docs: DataFrame, queries: DataFrame, most: int = 10_000) -> DataFrame:
+    """(qid, doc_id): documents whose text holds a query's text; queries travel to the documents, `most` at a time."""
+    kind, doc = queries.schema["qid"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    schema, group, out = f"qid {kind}, doc_id {doc}", [], None
+
+    def part(texts: list[tuple]) -> DataFrame:
+        qids = pa.array([q for q, _ in texts])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(q, row) for row, text in enumerate(batch.column(1).to_pylist()) if text for q, (_, wanted) in enumerate(texts) if wanted in text]
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array([q for q, _ in found], pa.int64())), batch.column(0).take(pa.array([r for _, r in found], pa.int64()))], ["qid", "doc_id"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+    for row in queries.where("text is not null").select("qid", "text").toLocalIterator():
+        group.append((row.qid, row.text))
+        if len(group) == most:
+            out, group = part(group) if out is None else out.union(part(group)), []
+    if group:
+        out = part(group) if out is None else out.union(part(group))
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
 class Collection:
     """keep_tokens: whether token arrays are kept between the plans that read them, in memory or else on local disks."""
 
@@ -74,15 +100,17 @@ class Collection:
     def idf(self) -> DataFrame:
         return stats.idf(stats.document_frequency(self.tf), self.summary)
 
+    @cached_property
+    def query_idf(self) -> DataFrame:
+        return interact.query_term_idf(self.darr, self.qarr)
+
     @cached_property
     def encoder(self) -> encode.VocabularyEncoder:
         return encode.VocabularyEncoder.from_table(self.table("embeddings"))
 
     @cached_property
     def qrels(self) -> DataFrame:
-        """Spark broadcasts the queries if their size allows."""
-        held = self.docs.select("doc_id", F.col("text").alias("body")).join(self.queries, F.col("body").contains(F.col("text")))
-        return held.select("qid", "doc_id", F.lit(1).alias("rel")).persist()
+        return holding(spread(self.docs.select("doc_id", "text")), self.queries).select("qid", "doc_id", F.lit(1).alias("rel")).persist()
 
     @cached_property
     def bm25(self) -> DataFrame:
@@ -110,7 +138,7 @@ class Collection:
 
     @cached_property
     def cbm25(self) -> DataFrame:
-        scored = interact.scored(self.matches, self.idf, self.summary)
+        scored = interact.scored(self.matches, self.query_idf, self.summary)
         return rank.ranked(rank.rounded(scored.withColumnRenamed("maxsim_bm25_qtf", "score"))).persist()
 
     @cached_property

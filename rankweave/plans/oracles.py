@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from rankweave.functions.text import STOP_WORDS
+
 TOK = r"regexp_extract_all(lower(coalesce({}, '')), '([\p{{L}}\p{{N}}]+)', 1)"
 DIMS = "range(1, (SELECT max(len(v)) FROM vocab) + 1)"
 
@@ -287,6 +289,14 @@ SELECTS: dict[str, str] = {
     "mnr_loss": """SELECT batch, round(avg(loss), 6) AS loss FROM (SELECT batch, i, ln(sum(exp(s - top))) + max(top) - max(CASE WHEN i = j THEN s END) AS loss FROM (SELECT *, max(s) OVER (PARTITION BY batch, i) AS top FROM (
     SELECT a.batch, a.qid AS i, b.qid AS j, list_dot_product(a.q, b.d) AS s FROM h a JOIN h b ON a.batch = b.batch)) GROUP BY batch, i) GROUP BY batch""",
 }
+STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+SELECTS["analyzed_tokens"] = f"SELECT doc_id, len(t)::INT AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, list_filter(tokens, lambda w: NOT list_contains([{STOP}], w)) AS t FROM darr)"
+SELECTS["run_to_map"] = """SELECT qid, '{' || string_agg('"' || doc_id || '":' || rank, ',' ORDER BY doc_id::VARCHAR) || '}' AS docs FROM bm25 WHERE rank <= 10 GROUP BY qid"""
+SELECTS["pair_scorer"] = r"""SELECT p.qid, p.doc_id, round(len(list_intersect(q.w, d.w))::DOUBLE / len(q.w), 6) AS score FROM bm25 p
+  JOIN (SELECT item_id, list_distinct(string_split_regex(trim(lower(text)), '\s+')) AS w FROM benchmark) q ON q.item_id = p.qid
+  JOIN (SELECT doc_id, list_distinct(string_split_regex(trim(lower(text)), '\s+')) AS w FROM documents) d ON d.doc_id = p.doc_id"""
+SELECTS["explain_query_terms"] = f"""SELECT p.qid, p.doc_id, string_agg(q.term || ': ' || printf('%.2f', round(coalesce(w, 0), 2)), ', ' ORDER BY pos) AS line FROM bm25 p JOIN qstream q ON q.qid = p.qid
+  LEFT JOIN (SELECT doc_id, term, {bm25_weight(0.9, 0.4)} AS w FROM tf JOIN df USING (term) JOIN dlen USING (doc_id), summary) x ON x.doc_id = p.doc_id AND x.term = q.term WHERE rank = 1 GROUP BY p.qid, p.doc_id"""
 CTES["pq"] = f"SELECT * FROM {per_query('cbm25')}"
 CTES["h"] = "SELECT p.qid, p.qid // 8 AS batch, q.vec AS q, d.vec AS d FROM bm25 p JOIN qdense q ON q.qid = p.qid JOIN ddense d ON d.doc_id = p.doc_id WHERE rank = 1"
 for _metric, _name in (("ndcg", "ndcg_at_k"), ("map", "map_at_k"), ("recall", "recall_at_k"), ("precision", "precision_at_k"), ("mrr", "mrr_at_k"), ("rcap", "rcap_at_k"), ("hole", "hole_at_k")):

@@ -96,3 +96,14 @@ def index(spark: SparkSession, path: str, shard: int | None = None) -> DataFrame
     """(shard, term, doc_id, pos, vec), of one shard alone where it is named: only its folder is read."""
     rows = spark.read.parquet(path)
     return rows if shard is None else rows.where(F.col("shard") == shard)
+
+
+def codec(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(centroids, bucket row) of writers.write_codec."""
+    centroids = spark.read.schema("code long, centroid array<float>").parquet(f"{path}/centroids")
+    return centroids.withColumn("centroid", F.col("centroid").cast("array<double>")), spark.read.parquet(f"{path}/buckets")
+
+
+def stats(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(idf, summary) of writers.write_stats."""
+    return spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/summary")

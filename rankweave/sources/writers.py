@@ -60,3 +60,20 @@ def write_run(run: DataFrame, path: str) -> None:
 def debug_lines(run: DataFrame) -> DataFrame:
     """qid rising, score falling: (qid, doc_id, score)."""
     return run.select("qid", "doc_id", "score").orderBy("qid", F.col("score").desc(), "doc_id")
+
+
+def write_stats(idf: DataFrame, summary: DataFrame, path: str) -> None:
+    """(term, df, idf) and the row of n_docs, n_tokens, mean_len."""
+    idf.write.mode("overwrite").parquet(f"{path}/idf")
+    summary.write.mode("overwrite").parquet(f"{path}/summary")
+
+
+def write_codec(centroids: DataFrame, bucket_row: DataFrame, path: str) -> None:
+    """Centroids as float, cutoffs, weights and the mean residual."""
+    centroids.select("code", F.col("centroid").cast("array<float>").alias("centroid")).write.mode("overwrite").parquet(f"{path}/centroids")
+    bucket_row.write.mode("overwrite").parquet(f"{path}/buckets")
+
+
+def write_compressed(rows: DataFrame, path: str, chunk: str = "chunk") -> None:
+    """Codes and levels, a folder per chunk; all chunks read as one table."""
+    rows.write.partitionBy(chunk).mode("overwrite").parquet(path)

@@ -269,6 +269,19 @@ def test_bm25_counts_repeated_query_terms(spark):
         stats.idf(stats.document_frequency(stats.term_frequency(docs)), stats.summary(docs), "odd")
 
 
+@pytest.mark.parametrize("kind", ["plain", "smooth"])
+def test_bm25_kernel_equals_joins(spark, kind):
+    rng = np.random.default_rng(6)
+    make = lambda n: [f"t{int(x)}" for x in rng.zipf(1.6, n) % 40]
+    docs = arrays(spark, "doc_id", [(i, make(int(rng.integers(0, 60)))) for i in range(120)] + [(500, [])])
+    queries = arrays(spark, "qid", [(i, make(6)) for i in range(9)] + [(77, ["absent"]), (78, [])])
+    for k in (None, 5):
+        one, two = (sorted((r.qid, r.doc_id, round(r.score, 5), r["rank"] if k else 0) for r in retrieve.bm25(docs, queries, k, kind=kind, method=m).collect()) for m in retrieve.METHODS)
+        assert one == two and one
+    with pytest.raises(ValueError):
+        retrieve.bm25(docs, queries, 5, method="odd")
+
+
 def test_dense_search(spark):
     docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)] + [(9, [0.0, 0.0])], "doc_id long, vec array<double>")
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vec array<double>")
@@ -292,3 +305,20 @@ def test_segments_and_truncation(spark):
     assert [(r.segment, r.start, "".join(r.tokens)) for r in stats.segments(rows, 2).orderBy("start").collect()] == [(0, 0, "ab"), (1, 2, "cd"), (2, 4, "e")]
     docs = spark.createDataFrame([(1, "Hello, WORLD-x 42"), (2, None)], "doc_id long, text string")
     assert [r.tokens for r in stats.token_arrays(docs, most=3).orderBy("doc_id").collect()] == [["hello", "world", "x"], []]
+
+
+def test_towers_heads_and_masks(spark, small):
+    docs, queries = small
+    swap = encode.Projected(Table(), np.array([[0.0, 1.0], [1.0, 0.0]]))
+    assert swap.encode(["a", "d"]).tolist() == [[0, 1], [4, 3]]
+    same = sorted(map(tuple, interact.exact_matches(docs, queries, encode.TwoTowers(Table()), pooler="token").collect()))
+    assert same == sorted(map(tuple, interact.exact_matches(docs, queries, Table(), pooler="token").collect()))
+    crossed = {(r.qid, r.doc_id, r.term): r.best for r in interact.exact_matches(docs, queries, encode.TwoTowers(swap, Table()), pooler="token").collect()}
+    assert crossed[7, 1, "a"] == 0 and math.isclose(crossed[7, 2, "d"], 24 / 25)
+    head = encode.Projected(Table(), np.eye(2), bias=np.array([0.0, -5.0]), norm=(np.ones(2), np.zeros(2)), relu=True)
+    assert np.allclose(head.encode(["d"]), [[1, 0]])
+    pairs = docs.where("doc_id = 3").select(F.lit(7).cast("long").alias("qid"), "doc_id")
+    assert interact.all_pairs(docs, queries, Table(), pairs).first().score == pytest.approx(0 + 0 + 0.8)
+    only = arrays(spark, "doc_id", [(3, ["c"])])
+    assert interact.all_pairs(only, queries, Table(), pairs).first().score == pytest.approx(-2.6)
+    assert interact.all_pairs(only, queries, Table(), pairs, masked=frozenset("c")).first().score == 0

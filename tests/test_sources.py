@@ -84,6 +84,19 @@ def test_index_reads_one_shard(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(shard" in one._jdf.queryExecution().toString() and {r.shard for r in one.collect()} <= {1}
 
 
+def test_codec_and_stats_come_back(spark, tmp_path):
+    centroids = spark.createDataFrame([(0, [1.0, 0.5]), (1, [0.0, 1.0])], "code long, centroid array<double>")
+    bucket = spark.createDataFrame([([0.0], [-0.5, 0.5], 0.1)], "cutoffs array<double>, weights array<double>, avg_residual double")
+    writers.write_codec(centroids, bucket, str(tmp_path / "codec"))
+    again = readers.codec(spark, str(tmp_path / "codec"))
+    assert [sorted(map(str, x.collect())) for x in again] == [sorted(map(str, x.collect())) for x in (centroids, bucket)]
+    rows = spark.createDataFrame([(k, 0, [1], k % 2) for k in range(6)], "vec_id long, code long, levels array<int>, chunk int")
+    writers.write_compressed(rows, str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 6
+    writers.write_stats(spark.createDataFrame([("a", 1, 0.5)], "term string, df long, idf double"), spark.createDataFrame([(1, 2, 2.0)], "n_docs long, n_tokens long, mean_len double"), str(tmp_path / "stats"))
+    assert readers.stats(spark, str(tmp_path / "stats"))[0].first().idf == 0.5
+
+
 def test_stream_keeps_top_k(spark, tmp_path):
     schema = "qid long, doc_id long, score double"
     every = [(q, d, float((d * 7 + q) % 23)) for q in range(3) for d in range(40)]
