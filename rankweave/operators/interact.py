@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rankweave.functions import weights
 from rankweave.operators import stats
@@ -75,6 +76,7 @@ def exact_matches(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encod
         wanted = candidates.groupBy("doc_id").agg(F.collect_set("qid").alias("wanted"))
         rows = rows.join(wanted, "doc_id")
     asking, encoder = sides(encoder)
+    qid_type = to_arrow_type(query_arrays.schema["qid"].dataType)
     schema = MATCH.format(kind=kind, doc=doc)
     names = [x.split()[0] for x in schema.split(", ")]
     out = None
@@ -103,10 +105,9 @@ def exact_matches(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encod
                             if allowed is None or pack.qids[number] in allowed:
                                 for column, value in zip(found, (pack.qids[number], row, len(tokens), term, len(at), n, total, best)):
                                     column.append(value)
-                types = [None, None, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                arrays = [pa.array(c, t) if t else pa.array(c, pa.int64() if i else None) for i, (c, t) in enumerate(zip(found, types))]
-                arrays[0] = pa.array(found[0], batch.schema.field(0).type) if not found[0] else arrays[0]
-                arrays[1] = batch.column(0).take(pa.array(found[1], pa.int64()))
+                types = [qid_type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                arrays = [pa.array(c, t) for c, t in zip(found, types)]
+                arrays[1] = batch.column(0).take(arrays[1])
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
         part = rows.mapInArrow(run, schema)
@@ -167,6 +168,7 @@ def all_pairs(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder |
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     kind, doc = query_arrays.schema["qid"].dataType.simpleString(), doc_arrays.schema["doc_id"].dataType.simpleString()
+    qid_type = to_arrow_type(query_arrays.schema["qid"].dataType)
     wanted = candidates.groupBy("doc_id").agg(F.collect_set("qid").alias("wanted"))
     rows = doc_arrays.select("doc_id", "tokens").join(wanted, "doc_id")
     out = None
@@ -193,7 +195,7 @@ def all_pairs(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder |
                         qids.append(qid)
                         at.append(row)
                         scores.append(float(most.max(axis=1).sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(qids, pa.int64() if not qids else None), batch.column(0).take(pa.array(at, pa.int64())), pa.array(scores, pa.float64())], ["qid", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qids, qid_type), batch.column(0).take(pa.array(at, pa.int64())), pa.array(scores, pa.float64())], ["qid", "doc_id", "score"])
 
         part = rows.mapInArrow(run, f"qid {kind}, doc_id {doc}, score double")
         out = part if out is None else out.unionByName(part)
