@@ -30,7 +30,7 @@ from rankweave.llm.shared import table
 #: Common words of a reference; a reference needs so many words.
 COMMON, REFERENCE_WORDS = 64, 1000
 #: Least number of words for comparing character classes and common words.
-CLASS_WORDS, COMMON_WORDS = 50, 100
+CLASS_WORDS, COMMON_WORDS = 50, 50
 #: A distance may be `base + slope / sqrt(words)`.
 CLASS_LIMIT, COMMON_LIMIT = (0.22, 0.8), (0.28, 1.2)
 #: Base rules: fewest words, and the largest share of words in repeated windows.

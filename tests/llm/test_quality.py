@@ -1,9 +1,11 @@
+import random
 import re
 from collections import Counter
 
 import numpy as np
 
 from rankweave.llm import quality
+from tests.llm.conftest import WORDS as COMMON_OF
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -63,6 +65,20 @@ def test_matches_brute_force(docs):
     assert any(x[7] for x in got) and any(not x[7] and not x[6] for x in got)
 
 
+def test_salad_of_few_words_is_not_kept(spark):
+    """Invented words of ordinary characters with one common word, 60 words long, among texts with common words as often as in language."""
+    rng = random.Random(1)
+    common = COMMON_OF["en"]
+    invented = lambda: "".join(rng.choices(["ta", "re", "mi", "no", "lu", "ke"], k=4))
+    weights = [1 / (i + 1) for i in range(len(common))]
+    good = [" ".join(rng.choices(common, weights)[0] if rng.random() < 0.6 else invented() for _ in range(60)) for _ in range(60)]
+    salad = " ".join(["the", *(invented() for _ in range(59))])
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*good, salad])], "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, quality.references(docs)).collect()}
+    assert not kept.pop(len(good))
+    assert all(kept.values())
+
+
 def test_without_references_base_rules_hold(docs):
     for r in quality.judge(docs, []).collect():
         assert r.kept == (not r.base_failed) and r.class_distance is None
