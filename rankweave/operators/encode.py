@@ -9,16 +9,23 @@ so no token vector is ever shuffled.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
+from itertools import islice
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of a stand-in encoder at most: it travels to every executor.
+#: Vectors that travel with a stand-in encoder; a larger table goes to every executor as a file.
 MOST_VECTORS = 1 << 17
 
 
@@ -37,9 +44,13 @@ class VocabularyEncoder:
 
     @staticmethod
     def from_table(table: DataFrame, most: int = MOST_VECTORS) -> VocabularyEncoder:
-        """Of (vec_id, embedding), the `most` rows with the smallest vec_id."""
-        rows = table.select("vec_id", "embedding").orderBy("vec_id").limit(most).collect()
-        return VocabularyEncoder(np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1))
+        """Of (vec_id, embedding), all rows in the order of vec_id; more than `most` are read from a file that is mapped into memory."""
+        rows = table.select("vec_id", "embedding").orderBy("vec_id")
+        n = rows.count()
+        if n <= most:
+            found = rows.collect()
+            return VocabularyEncoder(np.array([r.embedding for r in found], dtype=np.float64).reshape(len(found), -1))
+        return FiledEncoder(rows, n)
 
     def encode(self, tokens: list[str]) -> np.ndarray:
         known, n = self.known, len(self.vectors)
@@ -50,6 +61,34 @@ class VocabularyEncoder:
         return self.vectors[[known[t] for t in tokens]]
 
 
+class FiledEncoder(VocabularyEncoder):
+    """A VocabularyEncoder whose vectors are a file, which Spark sends to the executors and no process holds in memory."""
+
+    def __init__(self, rows: DataFrame, n: int):
+        folder = tempfile.mkdtemp(prefix="rankweave-vectors-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        self.name = f"vectors-{uuid.uuid4().hex}.npy"
+        path, found, vectors, at = os.path.join(folder, self.name), rows.toLocalIterator(), None, 0
+        while some := [r.embedding for r in islice(found, 4096)]:
+            part = np.array(some, dtype=np.float64)
+            if vectors is None:
+                vectors = np.lib.format.open_memmap(path, "w+", np.float64, (n, part.shape[1]))
+            vectors[at : at + len(part)] = part
+            at += len(part)
+        vectors.flush()
+        rows.sparkSession.sparkContext.addFile(path)
+        self.vectors, self.dim, self.known = np.load(path, mmap_mode="r"), vectors.shape[1], {}
+
+    def __getstate__(self) -> dict:
+        return {"name": self.name, "dim": self.dim}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"known": {}, "vectors": np.load(SparkFiles.get(state["name"]), mmap_mode="r")}
+
+    def encode(self, tokens: list[str]) -> np.ndarray:
+        return np.asarray(super().encode(tokens))
+
+
 class TwoTowers:
     """Separate encoders for queries and documents; one encoder serves both where only one is given."""
 

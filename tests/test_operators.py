@@ -322,3 +322,14 @@ def test_towers_heads_and_masks(spark, small):
     only = arrays(spark, "doc_id", [(3, ["c"])])
     assert interact.all_pairs(only, queries, Table(), pairs).first().score == pytest.approx(-2.6)
     assert interact.all_pairs(only, queries, Table(), pairs, masked=frozenset("c")).first().score == 0
+
+
+def test_encoder_takes_the_whole_table(spark, small):
+    n = encode.MOST_VECTORS + 5
+    table = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    whole = encode.VocabularyEncoder(np.column_stack([np.arange(n), np.ones(n)]))
+    found = encode.VocabularyEncoder.from_table(table)
+    tokens = [f"word{i}" for i in range(2000)]
+    assert len(found.vectors) == n and np.array_equal(found.encode(tokens), whole.encode(tokens))
+    rows = lambda encoder: sorted((r.doc_id, r.pos, tuple(r.vec)) for r in encode.token_vectors(small[0], encoder).collect())
+    assert rows(found) == rows(whole) != []
