@@ -8,7 +8,11 @@ allow. The incumbent is best-fit decreasing; a branch is dropped when its waste
 can no longer beat the incumbent. Pieces then look up their sequence by their
 rank among the pieces of their length, so nothing is grouped into one task.
 
-Defined cases: a null or empty text is the end token alone; equal rows are
+Ids are those of the plain tokenizer: the strings of its special tokens, written
+exactly so, are those tokens wherever they stand in a text.
+
+Defined cases: a null or empty text is the end token alone; a text of any
+length is encoded whole and only cut where a piece is full; equal rows are
 packed one by one; an empty table gives no pieces; ties between pieces of one
 length are broken by a hash, then doc_id, piece and checksum; other columns are
 ignored, whatever their names.
@@ -38,6 +42,7 @@ CACHED_WORDS = 300_000
 #: Branch and bound: decisions at most in all, fillings looked at per decision, items of an enumerated filling.
 DECISIONS, FILLINGS, DEPTH = 12_000, 6, 3
 
+
 class _Words(dict):
     """Ids of words, with those of the batch at hand in `batch`."""
 
@@ -54,7 +59,9 @@ class WordIds:
     nor across a boundary of letters and punctuation: a text's ids are those of
     its lower-cased words, and "word.," has those of "word" and ".,". New words
     of plain letters are one pre-token each, whose last id ends a word, so many
-    are encoded at a time and told apart by their ends.
+    are encoded at a time and told apart by their ends. The tokenizer takes
+    special tokens out of the text as it is written before anything else, so a
+    text is first cut at them.
     """
 
     PUNCTUATION = string.punctuation.encode()
@@ -65,7 +72,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = re.compile("(" + "|".join(re.escape(x) for x in sorted(special, key=len, reverse=True)) + ")")
+        self.special_ids = {text: np.array([k], dtype="<u4").tobytes() for text, k in special.items()}
+        self.tokenizer.encode_special_tokens = True  # between them, what only lower-casing makes such a string is ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
@@ -95,13 +105,20 @@ class WordIds:
         return found | {w: get(b) + get(tails[w]) for w, b in bodies.items()}
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers, without special tokens."""
-        split = [(t or "").encode().lower().split() for t in texts]
+        """Each text's ids as little-endian 32-bit integers; no special tokens are added."""
+        parts = {k: self.special.split(t) for k, t in enumerate(texts) if t and any(x in t for x in self.special_ids)}
+        between = [part for own in parts.values() for part in own[::2]]
+        split = [(t or "").encode().lower().split() if k not in parts else [] for k, t in enumerate(texts)]
+        split += [part.encode().lower().split() for part in between]
         new = self._encode(list(set().union(*split) - self.known.keys()))
         self.known.batch = new
         if len(self.known) < CACHED_WORDS:
             self.known.update(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        ids = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        rest = iter(ids[len(texts) :])
+        for k, own in parts.items():
+            ids[k] = b"".join(self.special_ids[part] if at % 2 else next(rest) for at, part in enumerate(own))
+        return ids[: len(texts)]
 
 
 _coders: dict[str, WordIds] = {}

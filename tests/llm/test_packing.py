@@ -11,7 +11,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     return [[*e.ids, 0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -57,6 +56,12 @@ def test_word_coder_equals_the_tokenizer():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [x[:-1] for x in reference_ids(odd)]
 
 
+def test_special_tokens_are_those_of_the_plain_tokenizer():
+    texts = ["Hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|> <|endoftext |>", "x <|endoftext|><|endoftext|>\n e<|startoftext|>\u0301", "<|endoftext|", None, "plain"]
+    got = [np.frombuffer(g, "<u4").tolist() for g in packing.ids_of(texts, packing.tokenizer_path())]
+    assert got == [x[:-1] for x in reference_ids(texts)] and got[0] == [3306, 49407, 1002]
+
+
 def fewest(lengths, capacity):
     lengths = sorted(lengths, reverse=True)
     best = [len(lengths)]
