@@ -48,8 +48,9 @@ def test_small_blocks_and_shards_take_the_same_words(docs, monkeypatch):
     pieces, _ = mixing.mix_pieces(docs)
     found = pieces.toPandas()
     assert found.groupby("shard")["n_words"].sum().max() <= 16 * -(-found["n_words"].sum() // 16)
-    assert found.groupby("shard")["position"].apply(lambda p: sorted(p) == list(range(1, len(p) + 1))).all()
-    assert not found.duplicated(["src", "bucket", "nth", "epoch", "first_word"]).any()
+    places = found[["shard", "place"]].drop_duplicates()
+    assert places.groupby("shard")["place"].apply(lambda p: sorted(p) == list(range(len(p)))).all() and found["shard"].nunique() > 3
+    assert not found.duplicated([*mixing.KEY, "epoch", "first_word"]).any()
 
 
 def test_quotas_are_spent_exactly():
@@ -62,6 +63,61 @@ def test_quotas_are_spent_exactly():
     assert all((a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(shards, part))
 
 
+def test_draws_have_the_marginals_of_the_hypergeometric():
+    """Over many seeds, a shard's draw of a source has the mean and variance of blocks drawn without replacement."""
+    quotas, n_shards = np.array([60, 25, 115]), 8
+    draws = np.array([[own for _, own, _ in mixing.split_quotas(quotas, n_shards, 0, n_shards, seed)] for seed in range(600)])
+    total, size = quotas.sum(), quotas.sum() // n_shards
+    share = quotas / total
+    assert np.allclose(draws.mean(axis=0), size * share, atol=0.35)
+    assert np.allclose(draws.var(axis=0), size * share * (1 - share) * (total - size) / (total - 1), rtol=0.3)
+
+
+def test_blocks_are_permuted_and_disjoint():
+    for n in (1, 2, 3, 64, 1000, 4097):
+        assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
+    moved = mixing.permuted(np.arange(1000), 1000, 5)
+    assert abs(np.corrcoef(moved, np.arange(1000))[0, 1]) < 0.1 and (moved != mixing.permuted(np.arange(1000), 1000, 6)).mean() > 0.9
+    quotas, met = np.array([70, 0, 3, 500]), set()
+    for _, src, block, place in mixing.shard_blocks(quotas, 9, 0, 9, 1):
+        met |= set(zip(src.tolist(), block.tolist()))
+        assert sorted(place.tolist()) == list(range(len(src)))
+    assert met == {(s, b) for s, q in enumerate(quotas) for b in range(q)}
+
+
+def test_rows_equal_in_id_and_text_keep_their_columns(spark):
+    text = " ".join(["word"] * 30)
+    rows = [(1, text, "s0", "en"), (1, text, "s1", "de"), (1, text, "s1", "fr"), (1, text, "s1", "fr"), (2, None, "s0", "en"), (None, text, None, None), (None, text, None, None)]
+    out = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    took = {}
+    for r in out:
+        took[r.source, r.lang] = took.get((r.source, r.lang), 0) + len(WORD.findall(r.text))
+    # 180 words, 270 to take by 3, 1, 2: s0 stops at 60; 70 to s1, and 120, its stop, to null; then s1 has 90
+    assert took[("s0", "en")] == 60 and took[(None, None)] == 120
+    assert took[("s1", "de")] + took[("s1", "fr")] == 90 and {k[0] for k in took} == {"s0", "s1", None}
+
+
+def test_a_shard_stands_together_in_its_order(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 2000)
+    pieces, rows = mixing.mix_pieces(docs)
+    first = pieces.join(rows.select(*mixing.KEY, "row_key"), mixing.KEY).toPandas().sort_values("first_word").drop_duplicates([*mixing.KEY, "epoch"])
+    starts = {}
+    for r in first.itertuples():
+        starts.setdefault(r.row_key, set()).add((r.shard, r.place, r.low))
+    from pyspark.sql import functions as F
+
+    keyed = docs.select(mixing.row_key(docs).alias("k"), F.col("doc_id"), F.col("source")).distinct().collect()
+    of = {}
+    for r in keyed:
+        of.setdefault((r.doc_id, r.source), set()).update(starts.get(r.k, ()))
+    parts = mixing.mixed_documents(docs).withColumn("part", F.spark_partition_id()).select("part", "doc_id", "source").collect()
+    shards = [{s for s, _, _ in of[r.doc_id, r.source]} for r in parts if len({s for s, _, _ in of[r.doc_id, r.source]}) == 1]
+    alone = [next(iter(s)) for s in shards]
+    runs = [a for a, b in zip(alone, [None, *alone]) if a != b]
+    assert len(runs) == len(set(runs)) > 3
+
+
 def test_mixed_documents(docs):
     out = mixing.mixed_documents(docs).collect()
     assert sum(len(WORD.findall(r.text)) for r in out) == mixing.mix_counts(docs).groupBy().sum("taken").first()[0]
