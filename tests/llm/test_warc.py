@@ -68,6 +68,43 @@ def test_false_magic_is_passed_over(tmp_path):
     assert s
 
 
+def member(text, level=6, extra=b"", name=b""):
+    """A gzip member with a header of any length."""
+    raw = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = raw.compress(text) + raw.flush()
+    head = bytes([0x1F, 0x8B, 8, (4 if extra else 0) | (8 if name else 0), 0, 0, 0, 0, 0, 255])
+    head += (len(extra).to_bytes(2, "little") + extra if extra else b"") + (name + b"\0" if name else b"")
+    return head + body + zlib.crc32(text).to_bytes(4, "little") + (len(text) & 0xFFFFFFFF).to_bytes(4, "little")
+
+
+@pytest.mark.parametrize("step", [100, 5000, 1 << 20])
+def test_long_gzip_headers(tmp_path, step):
+    texts = [zlib.decompress(warc.record(i, "u", b"x" * 50, None), 31) for i in range(3)]
+    data = [member(texts[0]), member(texts[1], extra=b"e" * 60_000, name=b"n" * 5000), member(texts[2], name=b"a" * 2000)]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(data))
+    found = [at for low in range(0, sum(map(len, data)), step) for at, _ in warc.read_range(f"file://{path}", low, min(sum(map(len, data)), low + step))]
+    assert found == [0, len(data[0]), len(data[0]) + len(data[1])]
+
+
+@pytest.mark.parametrize("size", [60, 300, 1000, 100_000])
+def test_a_stored_inner_archive_is_not_read_as_records(spark, tmp_path, size):
+    inner = b"".join(warc.record(900 + i, "in", b"inner" * 20, None) for i in range(5))
+    texts = [zlib.decompress(warc.record(i, "u", inner if i == 1 else b"x%d" % i, None), 31) for i in range(4)]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(member(t, 0 if i == 1 else 6) for i, t in enumerate(texts)))
+    files = spark.createDataFrame([(f"file://{path}", path.stat().st_size)], "path string, bytes long")
+    got = warc.read_archives(files, size).collect()
+    assert sorted(r.record_id for r in got) == [f"{warc.ID}{i}" for i in range(4)]
+    assert next(bytes(r.payload) for r in got if r.record_id == f"{warc.ID}1") == inner
+
+
+def test_equal_payloads_without_any_page_id_are_responses(spark):
+    rows = [(None, "a", "same", None, None, None), (None, "b", "same", None, None, None), (None, "c", None, None, None, None), (7, "d", "", None, None, None)]
+    got = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, SCHEMA), scratch_path(spark, "warc"))).collect()
+    assert sorted((r.target_uri, r.record_type, r.refers_to) for r in got) == [("a", "response", None), ("b", "response", None), ("c", "revisit", f"{warc.ID}7"), ("d", "response", None)]
+
+
 def test_damage_is_told(tmp_path):
     path = tmp_path / "a.warc.gz"
     path.write_bytes(warc.record(1, "u", b"x" * 1000, None)[:-20])
