@@ -14,6 +14,8 @@ from rankweave.operators import rank
 
 #: Query vectors that travel to a task together; more are searched for in groups.
 MOST_QUERIES = 20_000
+#: Products of queries and documents that a task holds at a time.
+HELD = 1 << 22
 SIMILARITIES = ("cosine", "dot")
 
 
@@ -33,9 +35,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int | None, similarity: str =
         matrix = _prepared([v for _, v in group], similarity)
 
         def run(batches: Iterator[pa.RecordBatch], qids: pa.Array = qids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+            step = max(16, HELD // max(1, len(matrix)))
             for whole in batches:
-                for low in range(0, whole.num_rows, 4096):
-                    batch = whole.slice(low, 4096)
+                for low in range(0, whole.num_rows, step):
+                    batch = whole.slice(low, step)
                     scores = np.round(matrix @ _prepared(batch.column(1).to_pylist(), similarity).T, rank.DIGITS)
                     if drop_self:
                         ids = batch.column(0).to_numpy(zero_copy_only=False)

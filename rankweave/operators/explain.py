@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.operators import rank
@@ -35,6 +37,20 @@ def against_both(one: DataFrame, two: DataFrame) -> DataFrame:
     return both.na.fill(0.0, ["d1", "d2"])
 
 
+def all_above(changes: DataFrame, limit: float = 0.2) -> DataFrame:
+    """Queries that gain more than limit over every system compared with."""
+    return changes.where(_every(changes, lambda d: d > limit))
+
+
+def all_below(changes: DataFrame, limit: float = -0.01) -> DataFrame:
+    """Queries that fall below limit against every system compared with."""
+    return changes.where(_every(changes, lambda d: d < limit))
+
+
+def _every(changes: DataFrame, holds) -> Column:
+    return reduce(lambda a, b: a & b, (holds(F.col(c)) for c in changes.columns if c != "qid"))
+
+
 def top_cases(systems: dict[str, DataFrame], qrels: DataFrame) -> DataFrame:
     """(qid, then for each system its best document and whether that is relevant)."""
     right = qrels.where("rel > 0").select("qid", "doc_id", F.lit(True).alias("right"))

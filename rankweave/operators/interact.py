@@ -11,7 +11,7 @@ beyond, they are dealt into groups of queries that are run one by one.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rankweave.functions import weights
-from rankweave.operators import stats
+from rankweave.operators import rank, stats
+from rankweave.operators.dense import best_of_each
 from rankweave.operators.encode import Encoder, TwoTowers, pooled, sides
 
 MOST_QUERY_TOKENS = 100_000
+#: Scores that a task holds at a time.
+HELD = 1 << 22
 SCORERS = ("maxsim_bm25_qtf", "maxsim_qtf", "maxsim_idf_qtf", "maxsim_tfidf")
 
 
@@ -154,6 +157,61 @@ def query_term_idf(doc_arrays: DataFrame, query_arrays: DataFrame) -> DataFrame:
     return doc_arrays.sparkSession.createDataFrame(rows, "term string, df long, idf double")
 
 
+def corpus_top_k(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder | TwoTowers, k: int, weighting: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "cbm25", bm25: tuple[float, float] = weights.RERANK, window: int = 3, pooler: str = "local_average") -> DataFrame:
+    """(qid, doc_id, score, rank): the k best documents of the whole corpus for each query, as the scorers of exact_matches rank them.
+
+    weighting: cbm25, idf * total * saturated tf; plain, the sum of total; or a
+    function of a term's (idf, df) that total is multiplied with. A document is
+    whole in its row, so its score is summed where it is read, and a task puts
+    out no more than k documents a query and batch. Documents that share no
+    term with a query are absent.
+    """
+    kind, doc = query_arrays.schema["qid"].dataType.simpleString(), doc_arrays.schema["doc_id"].dataType.simpleString()
+    asking, encoder = sides(encoder)
+    k1, b = bm25
+    out = None
+    for group in query_groups(query_arrays):
+        pack = QueryPack(group, asking, pooler, window)
+        names = {term: at for at, term in enumerate(pack.by_term)}
+        if weighting == "plain":
+            mean, weight = 1.0, np.ones(len(names))
+        else:
+            n_docs, n_tokens, df = stats.term_counts(doc_arrays, names)
+            mean, idf = n_tokens / max(n_docs, 1), np.log(n_docs / np.maximum(df, 1)) if n_docs else np.zeros(len(df))
+            weight = idf if weighting == "cbm25" else weighting(idf, df)
+        qids, n = pa.array(pack.qids), len(pack.qids)
+
+        def run(batches: Iterator[pa.RecordBatch], pack=pack, names=names, weight=weight, mean=mean, qids=qids, n=n) -> Iterator[pa.RecordBatch]:
+            step = max(16, HELD // max(n, 1))
+            for whole in batches:
+                for low in range(0, whole.num_rows, step):
+                    batch = whole.slice(low, step)
+                    scores = np.full((n, batch.num_rows), -np.inf)
+                    for row, tokens in enumerate(batch.column(1).to_pylist()):
+                        places: dict[str, list[int]] = defaultdict(list)
+                        for pos, token in enumerate(tokens):
+                            if token in names:
+                                places[token].append(pos)
+                        if not places:
+                            continue
+                        vectors, own, hit = pooled(encoder, tokens, pooler, window), np.zeros(n), np.zeros(n, bool)
+                        for term, at in places.items():
+                            numbers, starts, asked = pack.by_term[term]
+                            total = np.add.reduceat(np.maximum((asked @ vectors[at].T).max(axis=1), 0), starts)
+                            of = weight[names[term]]
+                            if weighting == "cbm25":
+                                of = of * len(at) * (1 + k1) / (len(at) + k1 * (1 - b + b * len(tokens) / mean))
+                            own[numbers] += of * total
+                            hit[numbers] = True
+                        scores[hit, row] = own[hit]
+                    yield best_of_each(np.round(scores, rank.DIGITS), qids, batch.column(0), k)
+
+        part = doc_arrays.select("doc_id", "tokens").mapInArrow(run, f"qid {kind}, doc_id {doc}, score double")
+        out = part if out is None else out.unionByName(part)
+    found = out if out is not None else doc_arrays.sparkSession.createDataFrame([], f"qid {kind}, doc_id {doc}, score double")
+    return rank.top_k(found, k)
+
+
 METRICS = ("cosine", "l2")
 
 

@@ -38,9 +38,25 @@ def holding(docs: DataFrame, queries: DataFrame, most: int = 10_000) -> DataFram
     def part(texts: list[tuple]) -> DataFrame:
         qids = pa.array([q for q, _ in texts])
 
+        owners: dict[str, list[int]] = {}
+        for at, (_, wanted) in enumerate(texts):
+            owners.setdefault(wanted, []).append(at)
+        empty = owners.pop("", [])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from ahocorasick import Automaton
+
+            search = Automaton()
+            for wanted, own in owners.items():
+                search.add_word(wanted, own)
+            if owners:
+                search.make_automaton()
             for batch in batches:
-                found = [(q, row) for row, text in enumerate(batch.column(1).to_pylist()) if text for q, (_, wanted) in enumerate(texts) if wanted in text]
+                found = []
+                for row, text in enumerate(batch.column(1).to_pylist()):
+                    if text:  # read once, whatever the number of queries
+                        hits = {q for _, own in (search.iter(text) if owners else ()) for q in own}
+                        found += [(q, row) for q in sorted(hits | set(empty))]
                 yield pa.RecordBatch.from_arrays([qids.take(pa.array([q for q, _ in found], pa.int64())), batch.column(0).take(pa.array([r for _, r in found], pa.int64()))], ["qid", "doc_id"])
 
         return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -75,6 +75,11 @@ def per_query(run: str, by: str = "", cuts: str = "1, 3, 5, 10, 100") -> str:
   FROM judged j LEFT JOIN within w ON {on} AND j.k = w.k)"""
 
 
+def changes(source: str, one: str, two: str) -> str:
+    change = lambda target, d: f"""SELECT s.qid, round(s.ndcg - coalesce(t.ndcg, 0), 6) AS {d} FROM {source} s LEFT JOIN {target} t ON s.qid = t.qid WHERE round(s.ndcg - coalesce(t.ndcg, 0), 6) <> 0"""
+    return f"SELECT coalesce(a.qid, b.qid) AS qid, coalesce(d1, 0) AS d1, coalesce(d2, 0) AS d2 FROM ({change(one, 'd1')}) a FULL JOIN ({change(two, 'd2')}) b ON a.qid = b.qid"
+
+
 def relevance(relevant: str) -> str:
     return f"""(SELECT qid, term, n_rel, coalesce(n_term, 0) AS n_term, coalesce(n_rel_term, 0) AS n_rel_term,
     round(ln((coalesce(n_rel_term, 0) + 0.5::DOUBLE) * (n_docs - coalesce(n_term, 0) - n_rel + coalesce(n_rel_term, 0) + 0.5::DOUBLE)
@@ -102,7 +107,7 @@ CTES: dict[str, str] = {
     "qrels": "SELECT b.item_id AS qid, d.doc_id, 1 AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "bm25_all": bm25_scores(False),
     "bm25": ranked("SELECT * FROM bm25_all", 100),
-    "vocab": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 131072",
+    "vocab": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS v FROM embeddings",
     "words": "SELECT term, ('0x' || substr(md5(term), 1, 7))::BIGINT % (SELECT count(*) FROM vocab) AS i FROM (SELECT term FROM df UNION SELECT term FROM qtf)",
     "termvec": "SELECT term, v FROM words JOIN vocab USING (i)",
     "dmean": smoothed("dstream", "doc_id", "termvec"),
@@ -128,9 +133,7 @@ CTES: dict[str, str] = {
     "nd_cbm25": f"SELECT qid, ndcg, 'set' || (qid % 4) AS dataset FROM {per_query('cbm25', '', '10')}",
     "paired": """SELECT dataset, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd FROM (SELECT coalesce(a.dataset, b.dataset) AS dataset, coalesce(a.ndcg, 0) - coalesce(b.ndcg, 0) AS d
   FROM nd_bm25 a FULL JOIN nd_dense b ON a.qid = b.qid) GROUP BY dataset""",
-    "changes": """SELECT coalesce(a.qid, b.qid) AS qid, coalesce(d1, 0) AS d1, coalesce(d2, 0) AS d2 FROM
-  (SELECT s.qid, round(s.ndcg - coalesce(t.ndcg, 0), 6) AS d1 FROM nd_cbm25 s LEFT JOIN nd_bm25 t ON s.qid = t.qid WHERE round(s.ndcg - coalesce(t.ndcg, 0), 6) <> 0) a FULL JOIN
-  (SELECT s.qid, round(s.ndcg - coalesce(t.ndcg, 0), 6) AS d2 FROM nd_cbm25 s LEFT JOIN nd_dense t ON s.qid = t.qid WHERE round(s.ndcg - coalesce(t.ndcg, 0), 6) <> 0) b ON a.qid = b.qid""",
+    "nd_half": f"SELECT qid, ndcg, 'set' || (qid % 4) AS dataset FROM {per_query('(SELECT * FROM bm25 WHERE doc_id % 2 = 1)', '', '10')}",
     "rsj": f"SELECT * FROM {relevance('(SELECT qid, doc_id FROM qrels WHERE rel > 0)')}",
     "rsj_run": f"SELECT * FROM {relevance('(SELECT qid, doc_id FROM bm25 WHERE rank <= 10 AND score > 0)')}",
     "rsj_delta": "SELECT qid, term, r.rsj, round(a.rsj - r.rsj, 6) AS delta FROM rsj_run a JOIN rsj r USING (qid, term)",
@@ -258,8 +261,8 @@ SELECTS: dict[str, str] = {
     "bh_step_up": """SELECT dataset, round(p, 6) AS p, rank, round(adjusted, 6) AS adjusted, min(adjusted) OVER (ORDER BY p, dataset ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) < 0.02::DOUBLE AS rejected
   FROM (SELECT *, p * count(*) OVER () / rank AS adjusted FROM (SELECT *, row_number() OVER (ORDER BY p, dataset)::INT AS rank FROM
     (SELECT (doc_id % 40)::VARCHAR AS dataset, sum(rank) / (4000.0::DOUBLE * count(*)) AS p FROM bm25 GROUP BY 1) WHERE dataset NOT IN ('7', '11')))""",
-    "query_wins": "SELECT * FROM changes WHERE d1 >= 0 AND d2 > 0.2::DOUBLE",
-    "query_losses": "SELECT * FROM changes WHERE d1 < -0.01::DOUBLE OR d2 < -0.01::DOUBLE",
+    "query_wins": f"SELECT * FROM ({changes('nd_cbm25', 'nd_half', 'nd_dense')}) WHERE d1 > 0.2::DOUBLE AND d2 > 0.2::DOUBLE",
+    "query_losses": f"SELECT * FROM ({changes('nd_dense', 'nd_bm25', 'nd_cbm25')}) WHERE d1 < -0.01::DOUBLE AND d2 < -0.01::DOUBLE",
     "diff_summary": "SELECT count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, round(min(d), 6) AS min, round(quantile_cont(d, 0.25), 6) AS q25, round(quantile_cont(d, 0.5), 6) AS q50, round(quantile_cont(d, 0.75), 6) AS q75, round(max(d), 6) AS max FROM (SELECT a.score - b.score AS d FROM bm25 a JOIN dense b USING (qid, doc_id))",
     "top1_cases": f"SELECT * FROM {top_case('bm25')} FULL JOIN {top_case('cbm25')} USING (qid) FULL JOIN {top_case('dense')} USING (qid)",
     "rsj_weight": "SELECT * FROM rsj",
