@@ -59,5 +59,19 @@ def test_kmeans_gives_unit_centroids():
     assert (x @ c.T).max(axis=1).mean() > (x @ x[:7].T).max(axis=1).mean() - 0.05
 
 
+def test_unit_vectors_of_any_length():
+    import pyarrow as pa
+
+    rows = [[3.0, 4.0], [1e-38, 0.0], [-5.0], [3e38, 3e38]]
+    out = embedding.unit(pa.array(rows, pa.list_(pa.float32())), 2)
+    assert np.allclose(out, [[0.6, 0.8], [1, 0], [-1, 0], [0.5**0.5, 0.5**0.5]])
+
+
+def test_null_ids_link_but_give_no_id(spark):
+    rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (9, [1.0, 0.02], 1), (None, [0.0, 1.0], 2), (4, [0.0, -1.0], 2)]
+    got = embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 2, 9, False), (None, 2, 9, False), (9, 2, 9, True), (None, 0, None, True), (4, 0, 4, True)], key=str)
+
+
 def test_empty(spark):
     assert embedding.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
