@@ -6,11 +6,22 @@ characters [start, end). Cutting is left to right and looks a few characters
 ahead at most, so pre-tokens that end `AHEAD` characters before the edit stay
 as they are; from there the text is cut anew until a boundary falls on an old
 one behind the edit, after which all is as before. Only what was cut anew is
-encoded, and only the sums above the touched leaves are updated.
-
-Defined cases: a null or empty text has no tokens; edits beyond the end of a
-text are moved to its end; edits apply one after the other, each to the text
-as it then is; an empty table gives no rows; other columns are ignored.
+encoded, and only the sums above the touched leaves are updated. A leaf that
+grows beyond `LARGEST` pre-tokens is split, without encoding anything.
+
+A tree is kept as a row: the text, and the characters and tokens of each leaf
+(`build_trees`). `apply_edits` takes such rows and a table of edits, cuts the
+pre-tokens of the leaves that an edit touches and no others, and gives the rows
+as they then are.
+
+Defined cases: a null or empty text has no tokens; a text of any length is one
+tree; edits beyond the end of a text are moved to its end, before its start to
+its start; an edit without start or end is none, one without text removes;
+edits apply one after the other, each to the text as it then is, those of rows
+with one doc_id in the order of their contents; a row of texts gets the edits of
+its doc_id, repeated rows alike, rows without doc_id none; edits of unknown
+doc_ids are ignored; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +39,8 @@ from rankweave.llm.shared import table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens in a leaf, about; characters that cutting may look ahead; pre-tokens whose counts a worker keeps.
 SEGMENT, AHEAD, CACHED = 32, 4, 400_000
+#: Pre-tokens of a leaf at most.
+LARGEST = 8 * SEGMENT
 
 Edit = tuple[int, int, str]
 
@@ -58,21 +71,43 @@ class _Counts(dict):
 
 
 class CountTree:
-    """Token counts of one text under edits."""
+    """Token counts of one text under edits; leaves: characters and tokens of each leaf, where they are known."""
 
-    def __init__(self, text: str | None, path: str):
+    def __init__(self, text: str | None, path: str, leaves: tuple[list[int], list[int]] | None = None):
         self.cutter, self.counts = coder(path)
-        self.text = text or ""
-        pieces = self.cutter.findall(self.text)
-        self.leaves = [pieces[i : i + SEGMENT] for i in range(0, len(pieces), SEGMENT)] or [[]]
+        self.text, self.encoded = text or "", 0
+        if leaves is None:
+            pieces = self.cutter.findall(self.text)
+            counts = self.counts
+            cut = [pieces[i : i + SEGMENT] for i in range(0, len(pieces), SEGMENT)]
+            self._grow(cut, [sum(map(len, own)) for own in cut], [sum([counts[p] for p in own]) for own in cut])
+        else:
+            self._grow([None] * len(leaves[0]), *leaves)
+
+    def _grow(self, leaves: list[list[str] | None], sizes: list[int], tokens: list[int]) -> None:
+        """The tree over leaves; those that are None are cut when they are needed."""
+        self.leaves = leaves or [[]]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
-        counts = self.counts
-        self.tokens = [0] * self.width + [sum([counts[p] for p in own]) for own in self.leaves] + [0] * (self.width - len(self.leaves))
-        self.sizes = [0] * self.width + [sum(map(len, own)) for own in self.leaves] + [0] * (self.width - len(self.leaves))
+        left = self.width - len(leaves)
+        self.sizes, self.tokens = ([0] * self.width + [*own] + [0] * left for own in (sizes, tokens))
         for node in range(self.width - 1, 0, -1):
             self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
             self.sizes[node] = self.sizes[2 * node] + self.sizes[2 * node + 1]
-        self.encoded = 0
+
+    def _pieces(self, leaf: int, start: int, text: str) -> list[str]:
+        """The leaf's pre-tokens; start: its first character in text."""
+        if self.leaves[leaf] is None:
+            own, end = [], start + self.sizes[leaf + self.width]
+            while start < end:
+                own.append(self.cutter.match(text, start)[0])
+                start += len(own[-1])
+            self.leaves[leaf] = own
+        return self.leaves[leaf]
+
+    def sums(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of each leaf that has any."""
+        used = [leaf + self.width for leaf in range(len(self.leaves)) if self.sizes[leaf + self.width]]
+        return [self.sizes[node] for node in used], [self.tokens[node] for node in used]
 
     @property
     def total(self) -> int:
@@ -102,11 +137,11 @@ class CountTree:
         old = len(self.text)
         start = min(max(start, 0), old)
         end = min(max(end, start), old)
-        shift = len(new) - (end - start)
-        self.text = self.text[:start] + new + self.text[end:]
+        shift, before = len(new) - (end - start), self.text
+        self.text = before[:start] + new + before[end:]
         leaf, at = self._find(max(0, start - AHEAD))
         kept: list[str] = []
-        for piece in self.leaves[leaf]:
+        for piece in self._pieces(leaf, at, before):
             if at + len(piece) > start - AHEAD:
                 break
             kept.append(piece)
@@ -120,23 +155,40 @@ class CountTree:
             here += len(piece)
             if here - shift >= end and here < stop:
                 while bound < here - shift:
-                    if index == len(self.leaves[last]):
+                    if index == len(self._pieces(last, bound, before)):
                         last, index = last + 1, 0
                         continue
-                    bound += len(self.leaves[last][index])
+                    bound += len(self._pieces(last, bound, before)[index])
                     index += 1
                 if bound == here - shift:
                     break
         else:
-            last, index = len(self.leaves) - 1, len(self.leaves[-1])
-        rest = self.leaves[last][index:]
+            last, index = len(self.leaves) - 1, None
+        rest = self.leaves[last][index:] if index is not None else []
         self.encoded += len(fresh)
         for between in range(leaf + 1, last + 1):
-            if self.leaves[between]:
+            if self.sizes[between + self.width]:
                 self._set(between, [])
         self._set(leaf, kept + fresh + rest)
+        if len(self.leaves[leaf]) > LARGEST:
+            self._split(leaf)
         return self.total
 
+    def _split(self, large: int) -> None:
+        """The tree anew, with the leaf in parts and without empty leaves."""
+        leaves, sizes, tokens = [], [], []
+        for leaf, own in enumerate(self.leaves):
+            if leaf == large:
+                cut = [own[i : i + SEGMENT] for i in range(0, len(own), SEGMENT)]
+                leaves += cut
+                sizes += [sum(map(len, part)) for part in cut]
+                tokens += [sum(self.counts[p] for p in part) for part in cut]
+            elif self.sizes[leaf + self.width]:
+                leaves.append(own)
+                sizes.append(self.sizes[leaf + self.width])
+                tokens.append(self.tokens[leaf + self.width])
+        self._grow(leaves, sizes, tokens)
+
 
 # What an edit of the script below puts in.
 INSERTS = ("", "[EMAIL]", " and", "'re", "  ", "ß1", "…", " x" * 40)
@@ -161,18 +213,71 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+EDITS_TYPE = "array<struct<start: long, end: long, text: string>>"
+
+
+def _with_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """rows, and a last column of all edits of their doc_id."""
+    own = edits.where("doc_id is not null").select("doc_id", F.col("edits").cast(EDITS_TYPE).alias("edits to make"))
+    own = own.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list("edits to make"))).alias("edits to make"))
+    return rows.join(own, "doc_id", "left").select(*rows.columns, "edits to make")
+
+
+def _edits(given: list[dict] | None) -> list[Edit]:
+    return [(e["start"], e["end"], e["text"] or "") for e in given or [] if e and e["start"] is not None and e["end"] is not None]
+
+
+TREE = "text string, leaf_chars array<int>, leaf_tokens array<int>, tokens long"
+
+
+def build_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, text, leaf_chars, leaf_tokens, tokens): the tree of each text, as a row."""
+    path = path or vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = [CountTree(text, path) for text in batch.column(1).to_pylist()]
+            yield _rows(batch.column(0), trees)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {TREE}")
+
+
+def apply_edits(trees: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of build_trees after the edits (doc_id, edits), and n_reencoded, the pre-tokens that these had encoded."""
+    path = path or vocabulary_path()
+    rows = _with_edits(trees.select("doc_id", "text", "leaf_chars", "leaf_tokens"), edits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text, chars, tokens, given in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                made.append(CountTree(text, path, (chars, tokens)))
+                for edit in _edits(given):
+                    made[-1].replace(*edit)
+            out = _rows(batch.column(0), made)
+            yield out.append_column("n_reencoded", pa.array([t.encoded for t in made], pa.int64()))
+
+    return rows.mapInArrow(run, f"doc_id {trees.schema['doc_id'].dataType.simpleString()}, {TREE}, n_reencoded long")
+
+
+def _rows(ids: pa.Array, trees: list[CountTree]) -> pa.RecordBatch:
+    sums = [t.sums() for t in trees]
+    leaves = [pa.array([s[k] for s in sums], pa.list_(pa.int32())) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([ids, pa.array([t.text for t in trees], pa.string()), *leaves, pa.array([t.total for t in trees], pa.int64())], ["doc_id", "text", "leaf_chars", "leaf_tokens", "tokens"])
+
+
 def count_tokens(docs: DataFrame, edits: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """doc_id, n_pretokens, tokens_before, tokens_after, n_edits, n_reencoded: one row per document.
 
-    edits: (doc_id, edits array<struct<start, end, text>>), one row per
-    document that has any; without it, each document meets `edit_script`.
-    n_reencoded: pre-tokens that edits had encoded anew.
+    edits: (doc_id, edits array<struct<start, end, text>>); without it, each
+    document meets `edit_script`. n_reencoded: pre-tokens that edits had
+    encoded anew.
     """
     path = path or vocabulary_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")
     if edits is not None:
-        rows = rows.join(edits.select("doc_id", F.col("edits").alias("edits to make")), "doc_id", "left")
+        rows = _with_edits(rows, edits)
     names = ["n_pretokens", "tokens_before", "tokens_after", "n_edits", "n_reencoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +287,7 @@ def count_tokens(docs: DataFrame, edits: DataFrame | None = None, path: str | No
             for row, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 tree = CountTree(text, path)
                 before, pieces = tree.total, sum(map(len, tree.leaves))
-                script = edit_script(doc_id, len(tree.text)) if given is None else [(e["start"], e["end"], e["text"]) for e in given[row] or []]
+                script = edit_script(doc_id, len(tree.text)) if given is None else _edits(given[row])
                 for edit in script:
                     tree.replace(*edit)
                 out.append((pieces, before, tree.total, len(script), tree.encoded))

@@ -51,3 +51,42 @@ def test_given_edits(spark, docs):
 
 def test_empty(none):
     assert tc.count_tokens(none).count() == 0
+
+
+def test_kept_trees_take_edits(spark, docs):
+    path = tc.vocabulary_path()
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None and r.text}
+    some = sorted(texts)[:40]
+    rows = [(i, [(5, 9, "new words here"), (None, 3, "x"), (3, None, "x"), (0, 2, None)]) for i in some] + [(some[0], [(10**9, 10**9, " at the end")]), (None, [(0, 1, "y")]), (10**12, [(0, 1, "y")])]
+    edits = spark.createDataFrame(rows, "doc_id long, edits array<struct<start: int, end: int, text: string>>")
+    got = tc.apply_edits(tc.build_trees(docs), edits).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        whole = tc.CountTree(r.text, path)
+        assert r.tokens == whole.total == sum(r.leaf_tokens) and sum(r.leaf_chars) == len(r.text)
+        if r.doc_id in some:
+            text = texts[r.doc_id]
+            for start, end, new in [(5, 9, "new words here"), (0, 2, "")] + [(10**9, 10**9, " at the end")] * (r.doc_id == some[0]):
+                start, end = min(start, len(text)), min(end, len(text))
+                text = text[:start] + new + text[end:]
+            assert r.text == text
+    long = [r for r in got if r.doc_id in some and len(r.text) > 2000]
+    assert long and sum(r.n_reencoded for r in long) < 0.2 * sum(sum(map(len, tc.CountTree(r.text, path).leaves)) for r in long)
+    counted = {r.doc_id: r for r in tc.count_tokens(docs, edits).collect()}
+    assert counted[some[1]].n_edits == 2 and counted[some[0]].n_edits == 3
+
+
+def test_large_inserts_are_split_into_leaves():
+    tree = tc.CountTree("one two three " * 100, tc.vocabulary_path())
+    rng = random.Random(2)
+    tree.replace(50, 60, "many words " * 5000)
+    assert max(map(len, tree.leaves)) <= tc.LARGEST
+    kept = tc.CountTree(tree.text, tc.vocabulary_path(), tree.sums())
+    for _ in range(300):
+        start = rng.randint(0, len(tree.text))
+        edit = (start, start + rng.randint(0, 300), rng.choice(["", " x", "word " * 30, "  ", "'s"]))
+        tree.replace(*edit)
+        kept.replace(*edit)
+        assert max(len(x) for x in tree.leaves) <= tc.LARGEST
+    whole = tc.CountTree(tree.text, tc.vocabulary_path())
+    assert tree.text == kept.text and tree.total == kept.total == whole.total
