@@ -12,7 +12,8 @@ any language, as far from the references as texts can be, is not kept either.
 Defined cases: a text that is null, empty or without words fails the base rule
 (no words) and has no distances; a null lang is a language of its own; ties
 among common words go to the smaller word; equal rows are judged alike; without
-any reference only the base rules hold; other columns are ignored.
+any reference only the base rules hold; a text of any length is judged whole; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

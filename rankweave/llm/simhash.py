@@ -15,7 +15,7 @@ are joined on every way of leaving out three bits: both steps lose no link.
 
 Defined cases: texts that are null, empty or without words have fingerprint
 zero and link with one another; equal texts have equal fingerprints, whatever
-their number; equal rows each get a row; an empty table gives no rows; a
+their number; a text of any length is read whole; equal rows each get a row; an empty table gives no rows; a
 component's id ignores null doc_ids; other columns are ignored.
 """
 

@@ -15,7 +15,8 @@ part is left to the calibration. All texts are scored by one pass over them.
 Defined cases: a null or empty text has all features 0 and gets a score; rows
 with a null label are not learned from, and of several labels of one doc_id the
 larger counts; without labels of both kinds every score is the share of label 1
-(0.0 without any); repeated rows are scored alike; other columns are ignored.
+(0.0 without any); a text of any length is scored whole; repeated rows are scored
+alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
