@@ -1,7 +1,10 @@
 """A corpus made ready for training: rules, near-duplicates, personal data, the mix, packing.
 
 Each stage works on all that the one before it kept, written as Parquet and
-read again. All but the last return the columns of documents.
+read again. All but the last return the columns of documents. Null and empty
+texts fail the quality rules; texts of any length are kept whole until they are
+packed; of repeated rows one stays as a near-duplicate of the others; an empty
+table stays empty; other columns travel with the rows, whatever their names.
 """
 
 from __future__ import annotations
