@@ -20,6 +20,12 @@ def without_stop_words(words: Column, stop: tuple[str, ...] = STOP_WORDS) -> Col
     return F.filter(words, lambda w: ~w.isin(*stop))
 
 
+def without_special(words: Column, special: tuple[str, ...], mask: Column | None = None) -> Column:
+    """Tokens that are not special, and where a mask is given (an array of 0 and 1 beside the tokens), not masked; the order stays."""
+    kept = words if mask is None else F.filter(words, lambda w, i: F.get(mask, i) != 0)
+    return F.filter(kept, lambda w: ~w.isin(*special)) if special else kept
+
+
 def truncated(words: Column, most: int) -> Column:
     return F.slice(words, 1, most)
 

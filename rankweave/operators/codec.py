@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from rankweave.functions import vectors
 
 
+#: Components of centroids that are broadcast at a time.
+HELD = 1 << 21
+
+
 def check(dim: int, nbits: int) -> None:
     if dim * nbits % 8 or dim % (nbits * 8):
         raise ValueError(f"vectors of {dim} components do not pack at {nbits} bits")
@@ -22,16 +26,20 @@ def mean_by(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:
 def assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
     """Adds code: the centroid (code, centroid) with the largest dot product, the smallest code of equals.
 
-    Centroids are few; Spark broadcasts them if their size allows. The best
-    code is folded over one array of them, so no vector is multiplied into rows.
+    Centroids travel to the vectors, about HELD components at a time, counted
+    before; each group leaves a vector its best code so far, so no vector is
+    multiplied into rows, and however many the centroids are, none is left out.
     """
-    held = centroids.agg(F.array_sort(F.collect_list(F.struct("code", "centroid"))).alias("codes"))
-    best = F.aggregate(
-        "codes",
-        F.struct(F.lit(float("-inf")).alias("s"), F.lit(-1).cast("long").alias("code")),
-        lambda a, c: F.when(F.round(vectors.dot(F.col("vec"), c["centroid"]), 9) > a["s"], F.struct(F.round(vectors.dot(F.col("vec"), c["centroid"]), 9).alias("s"), c["code"].cast("long").alias("code"))).otherwise(a),
-    )
-    return rows.crossJoin(F.broadcast(held)).withColumn("code", best["code"]).drop("codes")
+    n, dim = centroids.agg(F.count("*"), F.max(F.size("centroid"))).first()
+    groups = max(1, -(-n * (dim or 0) // HELD))
+    none = F.struct(F.lit(float("-inf")).alias("s"), F.lit(1).cast("long").alias("minus_code"))
+    out = rows.withColumn("best", none)
+    for group in range(groups):
+        own = centroids.where(F.pmod(F.xxhash64("code"), F.lit(groups)) == group) if groups > 1 else centroids
+        held = own.agg(F.collect_list(F.struct("code", "centroid")).alias("codes"))
+        each = F.transform("codes", lambda c: F.struct(F.round(vectors.dot(F.col("vec"), c["centroid"]), 9).alias("s"), (-c["code"]).cast("long").alias("minus_code")))
+        out = out.crossJoin(F.broadcast(held)).withColumn("best", F.greatest("best", F.coalesce(F.array_max(each), none))).drop("codes")
+    return out.withColumn("code", -F.col("best.minus_code")).drop("best")
 
 
 def residuals(rows: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -59,6 +67,13 @@ def packed(codes: Column, nbits: int) -> Column:
     return F.array_join(nibbles, "")
 
 
+def unpacked(held: Column, nbits: int) -> Column:
+    """The codes that `packed` wrote, as many as the digits hold."""
+    bits = F.array_join(F.transform(F.split(held, ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
+    codes = F.sequence(F.lit(1), F.length(bits) - nbits + 1, F.lit(nbits))
+    return F.when(F.length(held) == 0, F.array().cast("array<int>")).otherwise(F.transform(codes, lambda at: F.conv(F.reverse(F.substring(bits, at, F.lit(nbits))), 2, 10).cast("int")))
+
+
 def compressed(rows: DataFrame, centroids: DataFrame, bucket_row: DataFrame) -> DataFrame:
     """rows with code and levels (array<int>, one per component) in place of vec."""
     cut = residuals(assign(rows, centroids), centroids).crossJoin(F.broadcast(bucket_row.select("cutoffs")))

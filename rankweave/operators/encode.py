@@ -29,12 +29,35 @@ from pyspark.sql import functions as F
 MOST_VECTORS = 1 << 17
 
 
+#: Texts that are sorted by length, and of these, texts that go to an encoder at once.
+SORTED, TEXTS = 256, 32
+
+
 class Encoder(Protocol):
+    """May have encode_texts(list of token lists) -> list of arrays too, for encoders that gain from texts of like length at once."""
+
     dim: int
 
     def encode(self, tokens: list[str]) -> np.ndarray: ...
 
 
+def encoded(encoder: Encoder, texts: list[list[str]]) -> Iterator[np.ndarray]:
+    """Token vectors of each text, in order; encode_texts gets TEXTS of like length at once, the longest of a window first."""
+    many = getattr(encoder, "encode_texts", None)
+    if many is None:
+        yield from map(encoder.encode, texts)
+        return
+    for low in range(0, len(texts), SORTED):
+        some = texts[low : low + SORTED]
+        order = sorted(range(len(some)), key=lambda i: -len(some[i]))
+        found: list[np.ndarray | None] = [None] * len(some)
+        for a in range(0, len(order), TEXTS):
+            part = order[a : a + TEXTS]
+            for i, vectors in zip(part, many([some[i] for i in part])):
+                found[i] = vectors
+        yield from found
+
+
 class VocabularyEncoder:
     """Vector number (first 28 bits of the token's MD5) mod n of a fixed table."""
 
@@ -155,10 +178,10 @@ def token_vectors(arrays: DataFrame, encoder: Encoder, key: str = "doc_id", pool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, tokens in enumerate(batch.column(1).to_pylist()):
-                if not tokens:
-                    continue
-                vectors = encoder.encode(tokens)
+            texts = batch.column(1).to_pylist()
+            rows = [row for row, tokens in enumerate(texts) if tokens]
+            for row, vectors in zip(rows, encoded(encoder, [texts[row] for row in rows])):
+                tokens = texts[row]
                 vectors = local_average(vectors, window) if pooler == "local_average" else vectors
                 vectors = unit_rows(vectors) if normalize else vectors
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * vectors.shape[1]), pa.array(vectors.ravel()))
@@ -168,6 +191,22 @@ def token_vectors(arrays: DataFrame, encoder: Encoder, key: str = "doc_id", pool
     return arrays.select(key, "tokens").mapInArrow(run, f"{key} {kind}, pos int, term string, vec array<double>")
 
 
+def token_logits(arrays: DataFrame, encoder: Encoder, key: str = "doc_id", window: int = 3) -> DataFrame:
+    """(key, pos, term, logit): a token's pooled vector by the plain vector of its own term, both made where the text is read."""
+    kind = arrays.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            rows = [row for row, tokens in enumerate(texts) if tokens]
+            for row, plain in zip(rows, encoded(encoder, [texts[row] for row in rows])):
+                tokens, logits = texts[row], (local_average(plain, window) * plain).sum(axis=1)
+                keys = batch.column(0).take(pa.array([row] * len(tokens), pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(range(len(tokens)), pa.int32()), pa.array(tokens, pa.string()), pa.array(logits)], [key, "pos", "term", "logit"])
+
+    return arrays.select(key, "tokens").mapInArrow(run, f"{key} {kind}, pos int, term string, logit double")
+
+
 def mean_vectors(weighted: DataFrame, encoder: Encoder, key: str = "doc_id") -> DataFrame:
     """(key, vec): mean of the token vectors of (key, terms array<struct<term, w>>), by weight; zero without weight."""
     kind = weighted.schema[key].dataType.simpleString()
@@ -190,7 +229,7 @@ def mean_pooled(arrays: DataFrame, encoder: Encoder, key: str = "doc_id") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [encoder.encode(tokens).mean(axis=0).tolist() for tokens in batch.column(1).to_pylist()]
+            out = [vectors.mean(axis=0).tolist() for vectors in encoded(encoder, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], [key, "vec"])
 
     return arrays.where("size(tokens) > 0").select(key, "tokens").mapInArrow(run, f"{key} {kind}, vec array<double>")

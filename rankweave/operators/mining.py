@@ -49,13 +49,21 @@ def per_system(lists: DataFrame, positives: DataFrame, n: int, margin: float | N
     return taken.select("qid", "place", "t.system", "t.pid")
 
 
-def triples(positives: DataFrame, negatives: DataFrame, epoch: int, seed: int = 0) -> DataFrame:
-    """(qid, pos, neg): element epoch mod size of each query's positives in order, and of its negatives in an order by hash."""
-    pick = lambda column: F.get(column, F.lit(epoch) % F.size(column))
+def triples(positives: DataFrame, negatives: DataFrame, epoch: int, seed: int = 0, without_positives: bool = False) -> DataFrame:
+    """(qid, pos, neg): element epoch mod size of each query's positives in order, and of its negatives in an order by hash.
+
+    without_positives: a query that has negatives alone takes two of them at
+    each epoch, the first in the place of the positive; else it is left out.
+    """
+    pick = lambda column, at=F.lit(epoch): F.get(column, at % F.size(column))
     pos = positives.groupBy("qid").agg(F.sort_array(F.collect_list("pid")).alias("all_pos"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("pid").cast("string")))
     neg = negatives.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), "pid"))).alias("all_neg"))
-    return pos.join(neg, "qid").select("qid", pick("all_pos").alias("pos"), pick("all_neg")["pid"].alias("neg"))
+    rows = neg.join(pos, "qid", "left" if without_positives else "inner")
+    none = F.col("all_pos").isNull()
+    one = F.when(none, pick("all_neg", F.lit(2 * epoch))["pid"]).otherwise(pick("all_pos"))
+    two = F.when(none, pick("all_neg", F.lit(2 * epoch + 1))["pid"]).otherwise(pick("all_neg")["pid"])
+    return rows.select("qid", one.alias("pos"), two.alias("neg"))
 
 
 def margins(pairs: DataFrame, ce: DataFrame) -> DataFrame:

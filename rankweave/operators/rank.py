@@ -44,6 +44,13 @@ def merged(parts: DataFrame, k: int | None = None) -> DataFrame:
     return ranked(run) if k is None else top_k(run, k)
 
 
+def sample(run: DataFrame, n: int = 1, seed: int = 0, k: int = 10) -> DataFrame:
+    """The k best documents of n queries taken at random: those whose ids hash least under the seed; the same ones each time."""
+    key = F.xxhash64(F.lit(seed), F.col("qid").cast("string"))
+    taken = run.select("qid").distinct().orderBy(key, "qid").limit(n)
+    return top_k(run.select("qid", "doc_id", "score").join(taken, "qid", "left_semi"), k)
+
+
 def as_maps(run: DataFrame) -> DataFrame:
     """(qid, docs): a JSON object {doc_id: score} per query, ids in order."""
     entries = F.sort_array(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("key"), F.col("score").alias("value"))))

@@ -75,3 +75,21 @@ def step_up(pvalues: DataFrame, alpha: float, by: tuple[str, ...] = (), exclude:
     rows = rows.withColumn("adjusted", F.col("p") * F.col("m") / F.col("rank"))
     least = F.min("adjusted").over(order.rowsBetween(0, Window.unboundedFollowing))
     return rows.withColumn("rejected", least < alpha).drop("m")
+
+
+def over_datasets(scores: dict[str, DataFrame], baselines: tuple[str, ...], metric: str, alpha: float | None = None) -> DataFrame:
+    """(system, baseline, dataset, n, t, p) of every other system against each baseline; scores by system: (dataset, qid, metric).
+
+    With alpha, the step-up over the datasets of each pair: rank, adjusted, rejected.
+    """
+    if missing := set(baselines) - set(scores):
+        raise ValueError(f"no scores of {sorted(missing)}")
+    rows = None
+    for system in scores.keys() - set(baselines):
+        for baseline in baselines:
+            pair = paired_t(scores[system], scores[baseline], metric, ("dataset",))
+            pair = pair.select(F.lit(system).alias("system"), F.lit(baseline).alias("baseline"), "dataset", "n", "t")
+            rows = pair if rows is None else rows.union(pair)
+    if rows is None:
+        raise ValueError("every system is a baseline")
+    return with_p(rows) if alpha is None else step_up(with_p(rows), alpha, ("system", "baseline"))

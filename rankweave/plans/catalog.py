@@ -320,7 +320,9 @@ def q_pair_scorer(c):
 
 
 def compressed_encoder(c: Collection) -> encode.VocabularyEncoder:
-    back = codec.decompressed(c.compressed, c.centroids, c.bucket_row)
+    """Vectors as they are read back from their packed codes."""
+    held = c.compressed.select("vec_id", "code", codec.packed(F.col("levels"), NBITS).alias("packed"))
+    back = codec.decompressed(held.select("vec_id", "code", codec.unpacked(F.col("packed"), NBITS).alias("levels")), c.centroids, c.bucket_row)
     return encode.VocabularyEncoder.from_table(back.select("vec_id", F.col("vec").alias("embedding")))
 
 
@@ -341,39 +343,32 @@ def q_explain_query_terms(c):
     return explain.term_line(c.bm25.where("rank = 1"), c.qstream, postings)
 
 
-def doc_logits(c: Collection, stream_of: DataFrame, key: str) -> DataFrame:
-    """A token's logit: its pooled vector with the plain vector of its term."""
-    pooled = encode.token_vectors(stream_of, c.encoder, key, window=WINDOW, normalize=False)
-    plain = encode.token_vectors(stream_of, c.encoder, key, pooler="token", normalize=False).withColumnRenamed("vec", "own")
-    return pooled.join(plain, [key, "pos", "term"]).select(key, "pos", "term", vectors.dot(F.col("vec"), F.col("own")).alias("logit"))
-
-
 @plan
 def q_splade_max(c):
-    return sparse.max_pooled(doc_logits(c, c.darr, "doc_id")).select("doc_id", "term", r6(F.col("weight"), "weight"))
+    return sparse.max_pooled(encode.token_logits(c.darr, c.encoder, window=WINDOW)).select("doc_id", "term", r6(F.col("weight"), "weight"))
 
 
 @plan
 def q_splade_mean(c):
-    return sparse.mean_pooled(doc_logits(c, c.darr, "doc_id"), stats.lengths(c.darr)).select("doc_id", "term", r6(F.col("weight"), "weight"))
+    return sparse.mean_pooled(encode.token_logits(c.darr, c.encoder, window=WINDOW), stats.lengths(c.darr)).select("doc_id", "term", r6(F.col("weight"), "weight"))
 
 
 @plan
 def q_splade_weighted(c):
     listed = c.idf.where("df >= 2").select("term", F.col("idf").alias("w"))
-    return sparse.reweighted(sparse.max_pooled(doc_logits(c, c.qarr, "qid"), "qid"), listed).select("qid", "term", r6(F.col("weight"), "weight"))
+    return sparse.reweighted(sparse.max_pooled(encode.token_logits(c.qarr, c.encoder, "qid", WINDOW), "qid"), listed).select("qid", "term", r6(F.col("weight"), "weight"))
 
 
 @plan
 def q_splade_dot_topk(c):
-    q = sparse.max_pooled(doc_logits(c, c.qarr, "qid"), "qid").withColumnRenamed("weight", "q_weight")
-    run = retrieve.postings_score(sparse.max_pooled(doc_logits(c, c.darr, "doc_id")), q)
+    q = sparse.max_pooled(encode.token_logits(c.qarr, c.encoder, "qid", WINDOW), "qid").withColumnRenamed("weight", "q_weight")
+    run = retrieve.postings_score(sparse.max_pooled(encode.token_logits(c.darr, c.encoder, window=WINDOW)), q)
     return shown(rank.top_k(rank.rounded(run), 10))
 
 
 @plan
 def q_flops_reg(c):
-    return sparse.flops(sparse.max_pooled(doc_logits(c, c.darr, "doc_id")), c.summary).select(r6(F.col("flops"), "flops"))
+    return sparse.flops(sparse.max_pooled(encode.token_logits(c.darr, c.encoder, window=WINDOW)), c.summary).select(r6(F.col("flops"), "flops"))
 
 
 # rankings

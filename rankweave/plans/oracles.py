@@ -292,6 +292,22 @@ SELECTS: dict[str, str] = {
     "mnr_loss": """SELECT batch, round(avg(loss), 6) AS loss FROM (SELECT batch, i, ln(sum(exp(s - top))) + max(top) - max(CASE WHEN i = j THEN s END) AS loss FROM (SELECT *, max(s) OVER (PARTITION BY batch, i) AS top FROM (
     SELECT a.batch, a.qid AS i, b.qid AS j, list_dot_product(a.q, b.d) AS s FROM h a JOIN h b ON a.batch = b.batch)) GROUP BY batch, i) GROUP BY batch""",
 }
+# the tail of t by the finite series for whole degrees of freedom
+SELECTS["paired_t_p"] = """SELECT dataset, n, round(t, 6) AS t, round(1 - CASE WHEN v = 1 THEN 2 * angle / pi() WHEN v % 2 = 0 THEN sin(angle) * (1 + more) ELSE 2 / pi() * (angle + sin(angle) * cos(angle) * (1 + more)) END, 6) AS p FROM (
+  SELECT dataset, n, t, n - 1 AS v, atan(abs(t) / sqrt(n - 1)) AS angle FROM (SELECT dataset, n, CASE WHEN sd > 0 THEN mean / (sd / sqrt(n)) END AS t FROM paired)) JOIN (
+  SELECT dataset, coalesce(sum(exp(ln_term)), 0) AS more FROM (
+    SELECT dataset, sum(ln(cos2 * CASE WHEN v % 2 = 0 THEN (2 * i - 1) / (2.0::DOUBLE * i) ELSE 2 * i / (2.0::DOUBLE * i + 1) END)) OVER (PARTITION BY dataset ORDER BY i) AS ln_term FROM (
+      SELECT dataset, v, cos2, unnest(CASE WHEN v > 3 THEN range(1, (v - 2 - v % 2) // 2 + 1) ELSE [NULL]::BIGINT[] END) AS i FROM (
+        SELECT dataset, n - 1 AS v, (n - 1) / (n - 1 + pow(mean / (sd / sqrt(n)), 2)) AS cos2 FROM paired))) GROUP BY dataset) USING (dataset)"""
+# two systems, so the fold over a query's lists is two steps
+for _name, _where in (("hard_neg_multi", "ce IS NOT NULL"), ("hard_neg_margin", "ce IS NULL OR least IS NULL OR ce <= least - 3.0::DOUBLE")):
+    SELECTS[_name] = f"""WITH eligible AS (SELECT l.* FROM lists l JOIN (SELECT r.qid, min(ce) AS least FROM qrels r LEFT JOIN ce ON ce.qid = r.qid AND ce.pid = r.doc_id GROUP BY r.qid) w ON w.qid = l.qid WHERE {_where}),
+  one AS (SELECT qid, system, rank, pid FROM eligible WHERE system = 'bm25' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank, pid) <= 5),
+  two AS (SELECT qid, system, rank, pid FROM eligible e WHERE system = 'dense' AND NOT EXISTS (SELECT 1 FROM one o WHERE o.qid = e.qid AND o.pid = e.pid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank, pid) <= 5)
+  SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY system, rank, pid) - 1)::INT AS place, system, pid FROM (SELECT * FROM one UNION ALL SELECT * FROM two)"""
+SELECTS["coil_train_records"] = """SELECT p.qid, p.doc_id AS pid, to_json({'qry': {'qid': p.qid, 'query': q.tokens}, 'pos': [{'pid': p.doc_id, 'passage': d.tokens}], 'neg': coalesce(neg, [])})::VARCHAR AS record, coalesce(len(neg), 0)::INT AS n_neg
+  FROM (SELECT DISTINCT qid, doc_id FROM qrels) p JOIN qarr q ON q.qid = p.qid JOIN darr d ON d.doc_id = p.doc_id
+  LEFT JOIN (SELECT s.qid AS nqid, list({'pid': s.pid, 'passage': t.tokens} ORDER BY place) AS neg FROM single s JOIN darr t ON t.doc_id = s.pid WHERE place <= 3 GROUP BY s.qid) ON nqid = p.qid"""
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 SELECTS["analyzed_tokens"] = f"SELECT doc_id, len(t)::INT AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, list_filter(tokens, lambda w: NOT list_contains([{STOP}], w)) AS t FROM darr)"
 SELECTS["run_to_map"] = """SELECT qid, '{' || string_agg('"' || doc_id || '":' || rank, ',' ORDER BY doc_id::VARCHAR) || '}' AS docs FROM bm25 WHERE rank <= 10 GROUP BY qid"""

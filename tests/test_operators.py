@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankweave.functions import vectors, weights
+from rankweave.functions import text, vectors, weights
 from rankweave.operators import codec, dense, encode, explain, fuse, index, interact, metrics, mining, rank, relevance, retrieve, significance, sparse, stats
 
 
@@ -33,6 +33,22 @@ def test_ndcg(spark):
     assert ndcg(spark, unjudged, QRELS, 10) == {"q1": round(1 / math.log2(5), 6), "q2": ndcg(spark, RUN, QRELS, 10)["q2"]}
 
 
+def plain_ndcg(gains, ideal, k):
+    discounted = lambda rels: sum(g / math.log2(i + 2) for i, g in enumerate(rels[:k]))
+    return discounted(gains) / discounted(sorted(ideal, reverse=True))
+
+
+def test_ndcg_against_a_second_one(spark):
+    rng = np.random.default_rng(7)
+    qrels = {f"q{q}": {f"d{d}": int(g) for d, g in enumerate(rng.integers(0, 4, 12))} | {"d0": 1} for q in range(20)}
+    run = {q: {f"d{d}": float(s) for d, s in enumerate(rng.permutation(15))} for q in qrels}
+    for k in (1, 5, 10):
+        found = ndcg(spark, run, qrels, k)
+        for q, docs in run.items():
+            gains = [qrels[q].get(d, 0) for d in sorted(docs, key=docs.get, reverse=True)]
+            assert math.isclose(found[q], plain_ndcg(gains, list(qrels[q].values()), k), abs_tol=1e-6)
+
+
 def test_metrics_of_a_missing_query(spark):
     rows = metrics.per_query(run_of(spark, RUN), qrels_of(spark, {**QRELS, "q3": {"d4": 1}}), (2,)).collect()
     got = {r.qid: r for r in rows}
@@ -94,6 +110,20 @@ def test_student_p():
     assert math.isclose(significance.student_p(0.0, 9), 1.0)
 
 
+def test_systems_over_datasets(spark):
+    def of(shift):
+        return spark.createDataFrame([(d, q, 0.5 + shift * (q % 3 + 1) * (d == "x")) for d in "xy" for q in range(9)], "dataset string, qid int, ndcg double")
+
+    scores = {"base": of(0.0), "better": of(0.1), "worse": of(-0.1)}
+    rows = {(r.system, r.dataset): r for r in significance.over_datasets(scores, ("base",), "ndcg").collect()}
+    assert len(rows) == 4 and math.isclose(rows["better", "x"].t, -rows["worse", "x"].t) and rows["better", "x"].t > 0 and rows["better", "y"].p is None
+    assert rows["better", "x"].p == significance.student_p(rows["better", "x"].t, 9) < 0.001
+    stepped = significance.over_datasets(scores, ("base",), "ndcg", 0.05).collect()
+    assert len(stepped) == 2 and all(r.rejected for r in stepped)
+    with pytest.raises(ValueError):
+        significance.over_datasets(scores, ("other",), "ndcg")
+
+
 def test_local_average_frames():
     x = np.arange(7.0)[:, None]
     for w in (1, 2, 3, 9):
@@ -189,6 +219,30 @@ def test_codec(spark):
         codec.check(10, 2)
 
 
+@pytest.mark.parametrize("nbits", [1, 2, 4])
+def test_packed_codes_are_read_back(spark, nbits):
+    rng = np.random.default_rng(nbits)
+    levels = [rng.integers(0, 2**nbits, 32).tolist() for _ in range(50)] + [[]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(levels)], "id int, levels array<int>")
+    held = rows.where("size(levels) > 0").select("id", codec.packed(F.col("levels"), nbits).alias("held"))
+    held = held.union(spark.createDataFrame([(50, "")], held.schema))
+    back = {r.id: r.back for r in held.select("id", codec.unpacked(F.col("held"), nbits).alias("back")).collect()}
+    assert [back[i] for i in range(51)] == levels
+
+
+def test_codes_do_not_depend_on_groups_of_centroids(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "vec_id long, vec array<double>")
+    vectors_ = rng.normal(size=(25, 4)).tolist()
+    centroids = spark.createDataFrame([(k, v) for k, v in enumerate(vectors_ + vectors_[:5])], "code long, centroid array<double>")
+    whole = {r.vec_id: r.code for r in codec.assign(rows, centroids).collect()}
+    monkeypatch.setattr(codec, "HELD", 17)
+    assert {r.vec_id: r.code for r in codec.assign(rows, centroids).collect()} == whole
+    scores = np.array([r.vec for r in rows.orderBy("vec_id").collect()]) @ np.array(vectors_ + vectors_[:5]).T
+    assert [whole[i] for i in range(60)] == np.argmax(scores.round(9), axis=1).tolist()
+    assert {r.code for r in codec.assign(rows, centroids.where("false")).collect()} == {-1}
+
+
 def test_more_bits_reconstruct_better(spark):
     rng = np.random.default_rng(2)
     rows = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(200)], "vec_id long, vec array<double>")
@@ -235,6 +289,30 @@ def test_triples_rotate(spark):
     assert [r.pos for r in got] == [5, 6] * 3 and len({r.neg for r in got[:3]}) == 3 and got[0].neg == got[3].neg
 
 
+def test_triples_without_positives(spark):
+    pos = spark.createDataFrame([(1, 5)], "qid long, pid long")
+    neg = spark.createDataFrame([(q, p) for q in (1, 2) for p in range(10, 13)], "qid long, pid long")
+    assert [r.qid for r in mining.triples(pos, neg, 0).collect()] == [1]
+    rows = [{r.qid: (r.pos, r.neg) for r in mining.triples(pos, neg, e, without_positives=True).collect()} for e in range(4)]
+    order = [rows[0][1][1], rows[1][1][1], rows[2][1][1]]
+    assert [r[1][0] for r in rows] == [5] * 4
+    assert [r[2] for r in rows] == [(order[2 * e % 3], order[(2 * e + 1) % 3]) for e in range(4)]
+
+
+def test_special_and_masked_tokens(spark):
+    rows = spark.createDataFrame([(["[CLS]", "a", "b", "a", "[SEP]"], [1, 1, 0, 1, 1]), ([], [])], "t array<string>, m array<int>")
+    kept = lambda *mask: [r[0] for r in rows.select(text.without_special(F.col("t"), ("[CLS]", "[SEP]"), *mask)).collect()]
+    assert kept() == [["a", "b", "a"], []] and kept(F.col("m")) == [["a", "a"], []]
+
+
+def test_sample_of_queries(spark):
+    run = spark.createDataFrame([(q, d, float(d)) for q in range(30) for d in range(5)], "qid long, doc_id long, score double")
+    taken = rank.sample(run, 3, seed=1, k=2).collect()
+    assert len({r.qid for r in taken}) == 3 and sorted(r.doc_id for r in taken) == [3, 3, 3, 4, 4, 4]
+    assert taken and sorted(map(tuple, taken)) == sorted(map(tuple, rank.sample(run.repartition(7), 3, seed=1, k=2).collect()))
+    assert len({rank.sample(run, 1, seed=s).first().qid for s in range(8)}) > 1
+
+
 def test_losses(spark):
     s = spark.createDataFrame([(0, 0, 0, 2.0), (0, 0, 1, 1.0), (0, 1, 0, 0.0), (0, 1, 1, 0.0)], "batch long, i long, j long, score double")
     assert math.isclose(mining.ranking_loss(s).first().loss, round((math.log(1 + math.exp(-1)) + math.log(2)) / 2, 6))
@@ -324,6 +402,32 @@ def test_towers_heads_and_masks(spark, small):
     assert interact.all_pairs(only, queries, Table(), pairs, masked=frozenset("c")).first().score == 0
 
 
+class Batched(Table):
+    def encode_texts(self, texts):
+        assert len(texts) <= encode.TEXTS and [len(t) for t in texts] == sorted((len(t) for t in texts), reverse=True)
+        return [self.encode(t) for t in texts]
+
+
+def test_texts_of_like_length_are_encoded_together(spark):
+    rng = np.random.default_rng(5)
+    texts = [list(rng.choice(list("abcd"), n)) for n in rng.integers(1, 40, 600)]
+    assert all(np.array_equal(a, b) for a, b in zip(encode.encoded(Batched(), texts), [Table().encode(t) for t in texts], strict=True))
+    docs = arrays(spark, "doc_id", [(i, t) for i, t in enumerate(texts[:50])] + [(50, [])])
+    rows = lambda e: sorted((r.doc_id, r.pos, r.term, tuple(r.vec)) for r in encode.token_vectors(docs, e).collect())
+    assert rows(Batched()) == rows(Table())
+    means = lambda e: sorted((r.doc_id, tuple(r.vec)) for r in encode.mean_pooled(docs, e).collect())
+    assert means(Batched()) == means(Table())
+
+
+def test_logits_equal_a_join(spark, small):
+    docs = small[0]
+    pooled = encode.token_vectors(docs, Table(), window=2, normalize=False)
+    plain = encode.token_vectors(docs, Table(), pooler="token", normalize=False).withColumnRenamed("vec", "own")
+    joined = pooled.join(plain, ["doc_id", "pos", "term"]).select("doc_id", "pos", "term", vectors.dot(F.col("vec"), F.col("own")).alias("logit"))
+    one, two = (sorted(map(tuple, x.collect())) for x in (joined, encode.token_logits(docs, Table(), window=2)))
+    assert [r[:3] for r in one] == [r[:3] for r in two] and np.allclose([r[3] for r in one], [r[3] for r in two])
+
+
 def test_encoder_takes_the_whole_table(spark, small):
     n = encode.MOST_VECTORS + 5
     table = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))

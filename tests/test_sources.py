@@ -36,6 +36,23 @@ def test_collection(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "u")).first().value == "q1\t0\td2\t2"
 
 
+def test_tree_of_collections(spark, tmp_path):
+    for at, name in enumerate(("one", "group/one", "group/two b")):
+        folder = tmp_path / "in" / name
+        lines(folder / "corpus.jsonl", [{"_id": f"d{at}", "title": "T", "text": " x"}])
+        lines(folder / "queries.jsonl", [{"_id": f"q{at}", "text": " a\tb "}])
+        (folder / "qrels").mkdir()
+        (folder / "qrels/test.tsv").write_text(f"query-id\tcorpus-id\tscore\nq{at}\td{at}\t1\n")
+        (folder / "notes.tsv").write_text("no\tqrels\t0\nx\ty\t1\n")
+    writers.convert_tree(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    corpus = spark.read.schema("id string, contents string, dataset string").json(str(tmp_path / "out/corpus"))
+    assert sorted((r.dataset, r.id, r.contents) for r in corpus.collect()) == [("group/one", "d1", "T x"), ("group/two b", "d2", "T x"), ("one", "d0", "T x")]
+    queries = spark.read.schema("qid string, text string, dataset string").csv(str(tmp_path / "out/queries"), sep="\t")
+    assert sorted((r.dataset, r.qid, r.text) for r in queries.collect()) == [("group/one", "q1", "a b"), ("group/two b", "q2", "a b"), ("one", "q0", "a b")]
+    qrels = spark.read.schema("qid string, iteration int, doc_id string, rel int, dataset string, split string").csv(str(tmp_path / "out/qrels"), sep="\t")
+    assert sorted((r.dataset, r.split, r.qid, r.doc_id, r.rel) for r in qrels.collect()) == [("group/one", "test", "q1", "d1", 1), ("group/two b", "test", "q2", "d2", 1), ("one", "test", "q0", "d0", 1)]
+
+
 def test_hard_negatives(spark, tmp_path):
     with gzip.open(tmp_path / "n.jsonl.gz", "wt") as f:
         f.write(json.dumps({"qid": "1", "pos": [{"pid": "5", "ce-score": 9.0}], "neg": {"bm25": [{"pid": "7", "ce-score": 1.0}, {"pid": "8", "ce-score": 2.0}]}}) + "\n")
