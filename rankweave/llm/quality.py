@@ -107,12 +107,15 @@ Reference = tuple[np.ndarray, list[bytes], np.ndarray]
 def references(docs: DataFrame, common: int = COMMON) -> list[Reference]:
     """(class counts, common words, their counts and that of all others) of each language.
 
-    At most common + 8 rows a language go to the driver.
+    At most common + 8 rows go to the driver of a language that has words
+    enough for a reference; whatever else the column holds stays where it is.
     """
     counts = corpus_counts(docs)
     special = F.substring(F.col("key"), 1, 1) == F.lit(b" ")
     order = Window.partitionBy("lang", "special").orderBy(F.col("n").desc(), "key")
     ranked = counts.withColumn("special", special).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= common)
+    total = F.max(F.when(F.col("key") == F.lit(b" n"), F.col("n"))).over(Window.partitionBy("lang"))  # over the few rows left
+    ranked = ranked.withColumn("total", total).where(F.col("total") >= REFERENCE_WORDS)
     by_lang: dict[str | None, dict[bytes, int]] = defaultdict(dict)
     for row in ranked.select("lang", "key", "n").collect():
         by_lang[row.lang][bytes(row.key)] = row.n

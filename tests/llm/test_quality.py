@@ -87,3 +87,11 @@ def test_without_references_base_rules_hold(docs):
 def test_empty(none):
     assert quality.references(none) == []
     assert quality.judge(none, []).count() == 0
+
+
+def test_a_dirty_language_column_stays_off_the_driver(spark):
+    clean = [(i, "the of and to in is that it was for " * 60, "en") for i in range(40)]
+    dirty = [(1000 + i, "the of and to in", f"en-{i}") for i in range(500)]
+    both, alone = (spark.createDataFrame(rows, "doc_id long, text string, lang string") for rows in (clean + dirty, clean))
+    one, two = quality.references(both), quality.references(alone)
+    assert len(one) == len(two) == 1 and one[0][1] == two[0][1] and all((a == b).all() for a, b in ((one[0][0], two[0][0]), (one[0][2], two[0][2])))
