@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,14 +17,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir of the session.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is
-    made and set as the checkpoint folder.
+    Only where it is unset and the master is this machine, as in tests, a
+    temporary folder is made and set as the checkpoint folder; executors
+    elsewhere would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="rankweave-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()

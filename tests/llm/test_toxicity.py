@@ -72,3 +72,24 @@ def test_without_labels(spark, none):
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.where("false"))).collect()} == {0.0}
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 1"))).collect()} == {1.0}
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+
+
+def test_repeats_ties_and_long_texts(spark):
+    docs, labels, _ = made(spark)
+    model = toxicity.fit(docs, labels)
+    long = "the house of water and tree " * 40_000
+    rows = [(1, "you idiot zorg"), (1, "you idiot zorg"), (2, "you idiot zorg"), (3, long), (4, long + "you idiot zorg zorgling idiot"), (5, "x" * 300_000)]
+    extra = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, score string, predicted int")
+    found = sorted(toxicity.score(extra, model).collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in found] == [1, 1, 2, 3, 4, 5]
+    assert len({r.score for r in found[:3]}) == 1 and all(0 <= r.score <= 1 for r in found)
+    assert found[0].predicted == 1 and found[3].predicted == 0
+
+
+def test_repeated_rows_are_learned_from_alike(spark):
+    docs, labels, _ = made(spark, 300)
+    twice = toxicity.score(docs.union(docs), toxicity.fit(docs.union(docs), labels)).collect()
+    assert len(twice) == 2 * docs.count()
+    by_id = {}
+    for r in twice:
+        assert by_id.setdefault(r.doc_id, r.score) == r.score
