@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankweave.llm import contextmix, embedding, mixing, packing, pii, quality, simhash, tokencount, toxicity, warc
+from rankweave.llm import contextmix, embedding, mixing, packing, pii, quality, simhash, tokencount, toxicity, urlfilter, vafile, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_pack_documents": packing.op8_pack_documents,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_simhash_near_duplicates": simhash.op10_simhash_near_duplicates,
+        "op11_vector_codes": vafile.op11_vector_codes,
+        "op12_url_filter": urlfilter.op12_url_filter,
     }
 
 
@@ -25,4 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc_pages": warc.ORACLE_SQL,
         "op7_embedding_near_duplicates": embedding.ORACLE_SQL,
         "op9_mix_sources": mixing.ORACLE_SQL,
+        "op11_vector_codes": vafile.ORACLE_SQL,
+        "op12_url_filter": urlfilter.ORACLE_SQL,
     }
