@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankweave.llm import contextmix, embedding, mixing, packing, pii, quality, simhash, tokencount, toxicity, urlfilter, vafile, warc
+from rankweave.llm import contextmix, embedding, mixing, packing, pii, quality, simhash, tokencount, toxicity, urlfilter, vafile, validtime, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_simhash_near_duplicates": simhash.op10_simhash_near_duplicates,
         "op11_vector_codes": vafile.op11_vector_codes,
         "op12_url_filter": urlfilter.op12_url_filter,
+        "op13_valid_time_sales": validtime.op13_valid_time_sales,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_mix_sources": mixing.ORACLE_SQL,
         "op11_vector_codes": vafile.ORACLE_SQL,
         "op12_url_filter": urlfilter.ORACLE_SQL,
+        "op13_valid_time_sales": validtime.ORACLE_SQL,
     }
