@@ -56,8 +56,9 @@ class WordIds:
     """Token ids of texts by their words, which come back often and are kept.
 
     The tokenizer lower-cases, drops white space and never merges across it,
-    nor across a boundary of letters and punctuation: a text's ids are those of
-    its lower-cased words, and "word.," has those of "word" and ".,". New words
+    nor across a boundary of an ASCII letter or digit and punctuation: a text's
+    ids are those of its lower-cased words, and "word.," has those of "word" and
+    ".,"; behind a control character it may merge, so nothing is cut there. New words
     of plain letters are one pre-token each, whose last id ends a word, so many
     are encoded at a time and told apart by their ends. The tokenizer takes
     special tokens out of the text as it is written before anything else, so a
@@ -86,7 +87,7 @@ class WordIds:
         return {word: np.array(coded.ids, dtype="<u4").tobytes() for word, coded in zip(words, found)}
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        bodies = {w: b for w in words if len(b := w.rstrip(self.PUNCTUATION)) < len(w) and b and b[-1] < 128}
+        bodies = {w: b for w in words if len(b := w.rstrip(self.PUNCTUATION)) < len(w) and b[-1:].isalnum()}
         tails = {w: w[len(b) :] for w, b in bodies.items()}
         whole = {*bodies.values(), *tails.values(), *(w for w in words if w not in bodies)} - self.known.keys()
         plain, found = [], {}

@@ -56,6 +56,16 @@ def test_word_coder_equals_the_tokenizer():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [x[:-1] for x in reference_ids(odd)]
 
 
+def test_ids_of_random_texts():
+    """Control characters, specials, punctuation, marks and all planes, mixed at random."""
+    rng = np.random.default_rng(7)
+    pieces = [*map(chr, range(33)), "\x7f", "\x85", "\xa0", *"'.,!?-#abzAZ09_", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "é", "İ", "ß", "\u0301", "\u200d", "ǅ", "Ω", "漢", "\u2028", "\ufeff", "\U0001f600", "\U00020000", "\U000e0041", "\U0010fffd"]
+    texts = ["".join(rng.choice(pieces, rng.integers(1, 12))) for _ in range(20_000)]
+    texts += ["".join(chr(c) for c in rng.integers(0, 0x11000, 8) if not 0xD800 <= c < 0xE000) for _ in range(3000)]
+    got = packing.ids_of(texts, packing.tokenizer_path())
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [x[:-1] for x in reference_ids(texts)]
+
+
 def test_special_tokens_are_those_of_the_plain_tokenizer():
     texts = ["Hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|> <|endoftext |>", "x <|endoftext|><|endoftext|>\n e<|startoftext|>\u0301", "<|endoftext|", None, "plain"]
     got = [np.frombuffer(g, "<u4").tolist() for g in packing.ids_of(texts, packing.tokenizer_path())]
