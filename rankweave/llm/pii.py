@@ -311,7 +311,7 @@ def trained_field() -> Field:
 def plausible(kind: int, text: str) -> bool:
     """Whether a span of the field looks like its kind at all."""
     digits = len(DIGIT.findall(text))
-    low = text.lower()
+    low = " ".join(text.lower().split())  # white space of any length, in time that grows with the text alone
     if kind == 0:
         return bool(re.search(r"\S\s*[(\[{ ]\s*at\s*[)\]} ]\s*[a-z0-9]", low)) and bool(re.search(r"[a-z0-9](\.|\s*[(\[{ ]\s*dot\s*[)\]} ]\s*)[a-z]{2,}$", low))
     if kind == 1:

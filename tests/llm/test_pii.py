@@ -92,3 +92,12 @@ def test_redact(docs):
 
 def test_empty(none):
     assert pii.detect(none).count() == 0 and pii.redact(none).count() == 0
+
+
+def test_long_white_space_takes_linear_time():
+    import time
+
+    began = time.time()
+    assert pii.plausible(0, "john at example dot com") and pii.plausible(0, "john\n at \t example  dot com")
+    pii.plausible(0, "john at" + " " * 2_000_000 + "example dot com")
+    assert time.time() - began < 5
