@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.shared import table
 
-#: Common words of a reference; a reference needs so many words.
-COMMON, REFERENCE_WORDS = 64, 1000
+#: Common words of a reference.
+COMMON = 64
+#: A reference needs so many words, so many documents, and such a share of all documents: there are 1,000 at most.
+REFERENCE_WORDS, REFERENCE_DOCS, REFERENCE_SHARE = 1000, 20, 0.001
 #: Least number of words for comparing character classes and common words.
 CLASS_WORDS, COMMON_WORDS = 50, 50
 #: A distance may be `base + slope / sqrt(words)`.
@@ -70,7 +72,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(lang, key, n) over all documents; key: a word, or " c<class>", or " n" for the number of words."""
+    """(lang, key, n) over all documents; key: a word, " c<class>", " n" for the number of words, or " d" for documents with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str | None, Counter] = defaultdict(Counter)
@@ -90,6 +92,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 own = raw.split()
                 counts.update(own)
                 counts[b" n"] += len(own)
+                counts[b" d"] += bool(own)
                 for kind, n in enumerate(np.bincount(of[np.frombuffer(raw, np.uint8)], minlength=CLASSES).tolist()):
                     if kind and n:
                         counts[b" c%d" % kind] += n
@@ -107,27 +110,28 @@ Reference = tuple[np.ndarray, list[bytes], np.ndarray]
 def references(docs: DataFrame, common: int = COMMON) -> list[Reference]:
     """(class counts, common words, their counts and that of all others) of each language.
 
-    At most common + 8 rows go to the driver of a language that has words
-    enough for a reference; whatever else the column holds stays where it is.
+    At most common + 9 rows go to the driver of a language that has words and
+    documents enough for a reference, which at most 1,000 have; whatever else
+    the column holds stays where it is, so no text alone is its own reference.
     """
     counts = corpus_counts(docs)
     special = F.substring(F.col("key"), 1, 1) == F.lit(b" ")
     order = Window.partitionBy("lang", "special").orderBy(F.col("n").desc(), "key")
     ranked = counts.withColumn("special", special).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= common)
-    total = F.max(F.when(F.col("key") == F.lit(b" n"), F.col("n"))).over(Window.partitionBy("lang"))  # over the few rows left
-    ranked = ranked.withColumn("total", total).where(F.col("total") >= REFERENCE_WORDS)
+    for name, own in (("words", b" n"), ("docs", b" d")):  # over the few rows left
+        ranked = ranked.withColumn(name, F.max(F.when(F.col("key") == F.lit(own), F.col("n"))).over(Window.partitionBy("lang")))
+    ranked = ranked.where((F.col("words") >= REFERENCE_WORDS) & (F.col("docs") >= max(REFERENCE_DOCS, REFERENCE_SHARE * docs.count())))
     by_lang: dict[str | None, dict[bytes, int]] = defaultdict(dict)
     for row in ranked.select("lang", "key", "n").collect():
         by_lang[row.lang][bytes(row.key)] = row.n
     found = []
     for lang in sorted(by_lang, key=lambda x: (x is None, x or "")):
         own = by_lang[lang]
-        total = own.get(b" n", 0)
+        total = own[b" n"]
         words = sorted((w for w in own if not w.startswith(b" ")), key=lambda w: (-own[w], w))
-        if total >= REFERENCE_WORDS:
-            classes = np.array([own.get(b" c%d" % k, 0) for k in range(1, CLASSES)], dtype=float)
-            shares = np.array([own[w] for w in words], dtype=float)
-            found.append((classes, words, np.append(shares, total - shares.sum())))
+        classes = np.array([own.get(b" c%d" % k, 0) for k in range(1, CLASSES)], dtype=float)
+        shares = np.array([own[w] for w in words], dtype=float)
+        found.append((classes, words, np.append(shares, total - shares.sum())))
     return found
 
 

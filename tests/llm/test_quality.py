@@ -38,7 +38,7 @@ def test_matches_brute_force(docs):
     known = []
     for lang, counts in words_of.items():
         total = sum(counts.values())
-        if total >= quality.REFERENCE_WORDS:
+        if total >= quality.REFERENCE_WORDS and sum(r.lang == lang and bool(WORD.search(r.text or "")) for r in rows) >= quality.REFERENCE_DOCS:
             top = sorted(counts, key=lambda w: (-counts[w], w))[: quality.COMMON]
             known.append((classes_of[lang][1:], top, [counts[w] for w in top] + [total - sum(counts[w] for w in top)]))
     every = {w for _, top, _ in known for w in top}
@@ -95,3 +95,13 @@ def test_a_dirty_language_column_stays_off_the_driver(spark):
     both, alone = (spark.createDataFrame(rows, "doc_id long, text string, lang string") for rows in (clean + dirty, clean))
     one, two = quality.references(both), quality.references(alone)
     assert len(one) == len(two) == 1 and one[0][1] == two[0][1] and all((a == b).all() for a, b in ((one[0][0], two[0][0]), (one[0][2], two[0][2])))
+
+
+def test_no_text_is_its_own_reference(spark):
+    rng = random.Random(2)
+    good = [(i, " ".join(rng.choices(COMMON_OF["en"], k=80)), "en") for i in range(60)]
+    junk = " ".join("".join(rng.choices("XQZ%$#0123", k=9)) for _ in range(1200))
+    docs = spark.createDataFrame([*good, (101, junk, "zz"), (102, junk, None)], "doc_id long, text string, lang string")
+    assert len(quality.references(docs)) == 1
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, quality.references(docs)).collect()}
+    assert not kept[101] and not kept[102] and sum(kept.values()) == 60
