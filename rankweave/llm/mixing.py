@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import WORD, table, word_count, written
+from rankweave.llm.shared import WORD, row_key, table, word_count, written
 
 #: Weights by rank of the source, repeating; share of all words to take; passes over a source at most.
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2
@@ -53,11 +53,6 @@ def content_key() -> Column:
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
 
 
-def row_key(docs: DataFrame) -> Column:
-    """MD5 of all columns of a row of docs."""
-    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
-
-
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, src, source_size, n_docs, target): one row per source, in order of code points, null last.
 

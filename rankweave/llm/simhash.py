@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.graph import connected_components
-from rankweave.llm.shared import table, written
+from rankweave.llm.shared import row_key, table, written
 
 SHINGLE, SEED, DISTANCE, BYTES = 3, 42, 3, 8
 #: Positional bytes that linked fingerprints share at least.
@@ -61,16 +61,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp): one row per document, with more columns before fp."""
+    known = docs.select("doc_id", *more).schema
+    names = [*known.names, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
+            fps = pa.array([fingerprint(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", *more, F.col("text").alias("text to print")).mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.fields) + ", fp long")
 
 
 def near(one: np.uint64, others: np.ndarray) -> np.ndarray:
@@ -163,28 +164,36 @@ def links(classes: DataFrame, most: int = MOST) -> DataFrame:
     return found.union(group.select(F.explode("fps").alias("a"), "b").where("a <> b"))
 
 
-def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """(doc_id, fp, component_id) of every document; component_id is the smallest doc_id reachable by links."""
-    prints = written(fingerprints(docs), "fingerprints")
+def near_duplicates(docs: DataFrame, most: int = MOST, *more: Column) -> DataFrame:
+    """(doc_id, fp, component_id) of every document; component_id is the smallest doc_id reachable by links.
+
+    With more columns of docs, these and root, the same of all that links reach.
+    """
+    prints = written(fingerprints(docs, *more), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     members = connected_components(links(classes, most))
     roots = classes.join(members.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(roots.join(named, "root").select("fp", "component_id"), "fp")
+    kept = ["fp", "component_id", *(["root"] if more else [])]
+    return prints.join(roots.join(named, "root").select(*kept), "fp")
 
 
 def one_of_each_group(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates, with all its columns.
+    """One row of each group of near-duplicates, with all its columns: that with the smallest doc_id.
 
-    Of rows with one doc_id one stays; without a doc_id in its group, all rows stay.
+    Rows without doc_id come after all others; of several rows with that doc_id
+    the one with the smallest key of all its columns stays, and of rows equal
+    in all columns one.
     """
-    found = written(near_duplicates(docs, most), "near")
-    again = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    kept = docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
-    single = kept.join(again, "doc_id", "left_anti")
-    several = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null") if found.where("component_id is null").limit(1).count() else docs.where("false")
-    return single.select(docs.columns).union(several.select(docs.columns)).union(nameless)
+    key = "key of the row"
+    found = written(near_duplicates(docs, most, row_key(docs).alias("row_key")), "near")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("first"))
+    chosen = written(first.select(F.col("first.row_key").alias(key)), "chosen")
+    repeated = written(found.groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias(key)), "repeated")
+    kept = docs.withColumn(key, row_key(docs)).join(chosen, key, "left_semi")
+    single = kept.join(repeated, key, "left_anti")
+    several = kept.join(repeated, key, "left_semi").dropDuplicates([key])
+    return single.select(docs.columns).union(several.select(docs.columns))
 
 
 def op10_simhash_near_duplicates(spark, sf_dir: str) -> DataFrame:

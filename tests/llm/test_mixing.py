@@ -124,6 +124,16 @@ def test_mixed_documents(docs):
     assert all(r.n_chars == len(r.text) for r in out if r.doc_id is not None and r.text)
 
 
+def test_rows_that_a_microsecond_tells_apart(spark):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(1, "some words of a text " * 9, "s", at.replace(microsecond=i), None) for i in (1, 2)] + [(2, "others " * 50, None, at, at)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, seen timestamp, local timestamp_ntz")
+    out = [r.seen.microsecond for r in mixing.mixed_documents(frame).collect() if r.doc_id == 1]
+    assert set(out) == {1, 2} and out.count(1) <= 2 and out.count(2) <= 2
+
+
 @pytest.mark.parametrize("f", [mixing.mix_counts, mixing.mixed_documents])
 def test_empty(none, f):
     assert f(none).count() == 0

@@ -73,10 +73,23 @@ def test_blocks_cover_any_three_bytes():
 def test_one_of_each_group(docs):
     kept = simhash.one_of_each_group(docs).collect()
     ids = [r.doc_id for r in kept if r.doc_id is not None]
-    assert len(ids) == len(set(ids))
+    assert len(kept) == len(set(groups([slow_fingerprint(r.text) for r in docs.collect()])))
     assert set(ids) == {r.component_id for r in simhash.near_duplicates(docs).collect()} - {None}
 
 
+def test_no_group_is_lost_and_none_kept_twice(spark):
+    """Different texts under one doc_id, null ids beside named ones, rows that a microsecond or one column tells apart."""
+    import datetime
+
+    a, b, c = ("some words " + x * 3 + " of a text that is long enough" for x in ("alpha ", "beta ", "gamma "))
+    at = datetime.datetime(2024, 1, 1, 0, 0, 0, 1)
+    rows = [(1, a, "s", at), (1, b, "s", at), (2, a, "s", at), (3, b, "s", at), (None, a, "t", at), (None, c, "t", at), (None, c, "t", at.replace(microsecond=2)), (None, c, "t", at), (7, None, "u", at), (7, "", "v", at)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, seen timestamp")
+    kept = simhash.one_of_each_group(frame).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id != 7 and r.doc_id is not None) == sorted([(1, a), (1, b)])
+    assert [r.text for r in kept if r.doc_id is None] == [c] and sum(r.doc_id == 7 for r in kept) == 1 and len(kept) == 4
+
+
 def test_empty(none):
     assert simhash.near_duplicates(none).count() == 0
 
