@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,9 +77,17 @@ def word_count(text: Column) -> Column:
 
 
 def row_key(rows: DataFrame) -> Column:
-    """MD5 of all columns of a row, times to the microsecond: rows that differ in any column have different keys."""
+    """128 bits of all columns of a row, as text: rows that differ in any column, times by a microsecond, have different keys.
+
+    Columns are hashed where they stand, with which of them are null; nested
+    ones, of which a hash would skip the nulls inside, as JSON.
+    """
     times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), times))
+    columns = [F.col(f"`{f.name}`") for f in rows.schema.fields]
+    nested = [isinstance(f.dataType, (ArrayType, MapType, StructType)) for f in rows.schema.fields]
+    held = [F.to_json(F.struct(c), times) if deep else c for c, deep in zip(columns, nested)]
+    hashes = [F.xxhash64(F.lit(seed), *[c.isNull() for c in columns], *held).cast("string") for seed in (1, 2)]
+    return F.concat_ws(":", *hashes)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -124,6 +124,12 @@ def test_mixed_documents(docs):
     assert all(r.n_chars == len(r.text) for r in out if r.doc_id is not None and r.text)
 
 
+def test_keys_of_rows_tell_nulls_and_nested_nulls_apart(spark):
+    rows = [("a", None, [None, 1], None), (None, "a", [None, 1], None), ("a", None, [1, None], None), ("a", None, None, None), ("a", None, [], None), ("a", None, None, {"x": None}), ("a", None, None, {"x": 1}), ("", None, None, None), (None, None, None, None), ("a", None, [None, 1], None)]
+    frame = spark.createDataFrame(rows, "s string, `t u` string, l array<int>, m map<string,int>")
+    assert frame.select(mixing.row_key(frame).alias("k")).distinct().count() == len(rows) - 1
+
+
 def test_rows_that_a_microsecond_tells_apart(spark):
     import datetime
 
