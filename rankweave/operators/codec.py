@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions import vectors
+from rankweave.operators import quantiles
 
 
-#: Components of centroids that are broadcast at a time.
-HELD = 1 << 21
+#: Components of centroids that are broadcast at a time, at most.
+HELD = 1 << 23
+#: Centroids and vectors that are multiplied at once; how far below the best a bound still counts, for products are rounded.
+BLOCK, ROWS, SLACK = 1024, 1024, 1e-8
 
 
 def check(dim: int, nbits: int) -> None:
@@ -24,22 +32,54 @@ def mean_by(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:
 
 
 def assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Adds code: the centroid (code, centroid) with the largest dot product, the smallest code of equals.
+    """Adds code: the centroid (code, centroid) with the largest dot product, the smallest code of equals, -1 without centroids.
 
-    Centroids travel to the vectors, about HELD components at a time, counted
-    before; each group leaves a vector its best code so far, so no vector is
-    multiplied into rows, and however many the centroids are, none is left out.
+    Centroids go to the vectors, longest first, HELD components at a time (one
+    pass over the vectors for each such part, counted before). A part is
+    multiplied in blocks, and a block whose longest centroid cannot reach a
+    vector's best product so far, by the lengths of both, is left out for that
+    vector. However many the centroids are, none is lost.
     """
     n, dim = centroids.agg(F.count("*"), F.max(F.size("centroid"))).first()
-    groups = max(1, -(-n * (dim or 0) // HELD))
-    none = F.struct(F.lit(float("-inf")).alias("s"), F.lit(1).cast("long").alias("minus_code"))
-    out = rows.withColumn("best", none)
-    for group in range(groups):
-        own = centroids.where(F.pmod(F.xxhash64("code"), F.lit(groups)) == group) if groups > 1 else centroids
-        held = own.agg(F.collect_list(F.struct("code", "centroid")).alias("codes"))
-        each = F.transform("codes", lambda c: F.struct(F.round(vectors.dot(F.col("vec"), c["centroid"]), 9).alias("s"), (-c["code"]).cast("long").alias("minus_code")))
-        out = out.crossJoin(F.broadcast(held)).withColumn("best", F.greatest("best", F.coalesce(F.array_max(each), none))).drop("codes")
-    return out.withColumn("code", -F.col("best.minus_code")).drop("best")
+    by_length = centroids.select(F.col("code").cast("long").alias("code"), "centroid").orderBy(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x).desc(), "code")
+    out = rows.withColumns({"best score": F.lit(float("-inf")), "code": F.lit(-1).cast("long")})
+    held, most = by_length.toLocalIterator(), max(1, HELD // max(1, dim or 1))
+    for _ in range(-(-n // most)):
+        part = list(islice(held, most))
+        out = _best_of(out, np.array([r.code for r in part], np.int64), np.array([r.centroid for r in part], np.float64))
+    return out.drop("best score")
+
+
+def _best_of(rows: DataFrame, codes: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    """rows with `best score` and code improved by these centroids, which are sorted by falling length."""
+    sent = rows.sparkSession.sparkContext.broadcast((codes, matrix, np.linalg.norm(matrix, axis=1)))
+    names = rows.columns
+    vec, best_at, code_at = (names.index(x) for x in ("vec", "best score", "code"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, matrix, lengths = sent.value
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                lists = batch.column(vec)
+                vectors = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(lists), -1)
+                size = np.linalg.norm(vectors, axis=1)
+                best = batch.column(best_at).to_numpy().copy()
+                code = batch.column(code_at).to_numpy().copy()
+                for start in range(0, len(codes), BLOCK):
+                    live = np.flatnonzero(size * lengths[start] >= best - SLACK)
+                    if not len(live):
+                        break  # later centroids are shorter still
+                    scores = np.round(vectors[live] @ matrix[start : start + BLOCK].T, 9)
+                    top = scores.max(axis=1)
+                    least = np.where(scores == top[:, None], codes[start : start + BLOCK], np.iinfo(np.int64).max).min(axis=1)
+                    wins = (top > best[live]) | ((top == best[live]) & (least < code[live]))
+                    best[live[wins]], code[live[wins]] = top[wins], least[wins]
+                columns = list(batch.columns)
+                columns[best_at], columns[code_at] = pa.array(best), pa.array(code)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def residuals(rows: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -48,11 +88,17 @@ def residuals(rows: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def buckets(residual_rows: DataFrame, nbits: int) -> DataFrame:
-    """One row: cutoffs at i / 2^b, weights at (i + 1/2) / 2^b of all residual components, and their mean size."""
+    """One row: cutoffs at i / 2^b, weights at (i + 1/2) / 2^b of all residual components, and their mean size.
+
+    The quantiles are exact and taken by passes over the rows when this is
+    called; no task holds the components.
+    """
     n = 2**nbits
     flat = residual_rows.select(F.explode("residual").alias("x"))
-    at = lambda qs: F.percentile("x", F.array(*[F.lit(q) for q in qs]))
-    return flat.agg(at([i / n for i in range(1, n)]).alias("cutoffs"), at([(i + 0.5) / n for i in range(n)]).alias("weights"), F.avg(F.abs("x")).alias("avg_residual"))
+    found = quantiles.percentiles(flat, "x", [i / (2 * n) for i in range(1, 2 * n)])
+    mean = flat.agg(F.avg(F.abs("x"))).first()[0]
+    row = (found[1::2], found[::2], mean) if mean is not None else (None, None, None)
+    return residual_rows.sparkSession.createDataFrame([row], "cutoffs array<double>, weights array<double>, avg_residual double")
 
 
 def bucketed(residual: Column, cutoffs: Column) -> Column:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rankweave.functions import vectors
 from rankweave.operators import rank
@@ -23,19 +24,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int | None, similarity: str =
     """(qid, doc_id, score, rank): queries (qid, vec) against all docs (doc_id, vec).
 
     Each task multiplies its documents with the queries in blocks and keeps
-    the k best of each query and block before anything is shuffled.
+    the k best of each query as it goes, so that no more than these are
+    shuffled, whatever the number of blocks.
     """
     if similarity not in SIMILARITIES:
         raise ValueError(f"unknown similarity: {similarity}")
     doc, kind = docs.schema["doc_id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
-    schema = f"qid {kind}, doc_id {doc}, score double"
+    schema, doc_type = f"qid {kind}, doc_id {doc}, score double", to_arrow_type(docs.schema["doc_id"].dataType)
     out = None
     for group in _groups(queries):
         qids = pa.array([q for q, _ in group])
         matrix = _prepared([v for _, v in group], similarity)
 
         def run(batches: Iterator[pa.RecordBatch], qids: pa.Array = qids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            step = max(16, HELD // max(1, len(matrix)))
+            step, best = max(16, HELD // max(1, len(matrix))), Best(qids, doc_type, k)
             for whole in batches:
                 for low in range(0, whole.num_rows, step):
                     batch = whole.slice(low, step)
@@ -43,7 +45,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int | None, similarity: str =
                     if drop_self:
                         ids = batch.column(0).to_numpy(zero_copy_only=False)
                         scores[qids.to_numpy(zero_copy_only=False)[:, None] == ids[None, :]] = -np.inf
-                    yield best_of_each(scores, qids, batch.column(0), k)
+                    yield from best.add(scores, batch.column(0))
+            yield from best.rest()
 
         part = docs.select("doc_id", "vec").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -51,17 +54,55 @@ def search(docs: DataFrame, queries: DataFrame, k: int | None, similarity: str =
     return rank.ranked(run_) if k is None else rank.top_k(run_, k)
 
 
-def best_of_each(scores: np.ndarray, qids: pa.Array, doc_ids: pa.Array, k: int | None) -> pa.RecordBatch:
-    """Rows (qid, doc_id, score) of the k best finite scores [queries, documents] of each query; ties go to the smaller id."""
-    if k is not None and scores.shape[1] > k:
-        order = np.argsort(doc_ids.to_numpy(zero_copy_only=False), kind="stable")
-        best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-    else:
-        best = np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-    values = np.take_along_axis(scores, best, axis=1)
-    good = np.isfinite(values)
-    rows = np.repeat(np.arange(len(scores)), good.sum(axis=1))
-    return pa.RecordBatch.from_arrays([qids.take(pa.array(rows)), doc_ids.take(pa.array(best[good])), pa.array(values[good])], ["qid", "doc_id", "score"])
+class Best:
+    """The k best scores of each query that a task has seen; ties go to the smaller id. Without k all finite scores go on at once.
+
+    A block's scores are taken in where they reach the k-th best of their query
+    in the block and so far; what is held is cut to k a query again and again,
+    so memory is bounded by queries * k, and so is what a task puts out.
+    """
+
+    def __init__(self, qids: pa.Array, doc_type: pa.DataType, k: int | None):
+        self.qids, self.k, self.doc_type = qids, k, doc_type
+        self.floor = np.full(len(qids), -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.held = 0
+
+    def add(self, scores: np.ndarray, doc_ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        """scores [queries, documents]; -inf leaves a document out."""
+        floor = self.floor
+        if self.k is not None and scores.shape[1] > self.k:
+            floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        rows, columns = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+        self.parts.append((rows, scores[rows, columns], doc_ids.take(pa.array(columns))))
+        self.held += len(rows)
+        if self.k is None:
+            yield from self.rest()
+        elif self.held > 2 * len(self.qids) * self.k + HELD:
+            self._cut()
+
+    def _cut(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        rows = np.concatenate([r for r, _, _ in self.parts]) if self.parts else np.zeros(0, np.int64)
+        values = np.concatenate([v for _, v, _ in self.parts]) if self.parts else np.zeros(0)
+        ids = pa.concat_arrays([i for _, _, i in self.parts]) if self.parts else pa.array([], self.doc_type)
+        if self.k is not None and len(rows):
+            order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+            order = order[np.lexsort((-values[order], rows[order]))]
+            starts = np.searchsorted(rows[order], rows[order])
+            order = order[np.arange(len(order)) - starts < self.k]
+            rows, values, ids = rows[order], values[order], ids.take(pa.array(order))
+            size = np.bincount(rows, minlength=len(self.qids))
+            full = np.flatnonzero(size >= self.k)
+            self.floor[full] = values[np.cumsum(size)[full] - 1]
+        self.parts, self.held = [(rows, values, ids)], len(rows)
+        return rows, values, ids
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """What is held, as rows (qid, doc_id, score)."""
+        rows, values, ids = self._cut()
+        self.parts, self.held = [], 0
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([self.qids.take(pa.array(rows)), ids, pa.array(values)], ["qid", "doc_id", "score"])
 
 
 def _groups(queries: DataFrame) -> Iterator[list[tuple]]:

@@ -16,10 +16,18 @@ def pack_queries(stream: DataFrame) -> DataFrame:
     return stream.groupBy("qid").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("tokens"))
 
 
-def scatter_maps(stream: DataFrame) -> DataFrame:
-    """(term, doc_id, run, n): postings of a term in the order of doc_id; run numbers its documents from 0."""
-    counts = stream.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return counts.withColumn("run", F.row_number().over(Window.partitionBy("term").orderBy("doc_id")) - 1)
+def scatter_maps(stream: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(term, doc_id, run, n): postings of a term in the order of doc_id; run numbers its documents from 0.
+
+    A running sum in two steps, over blocks of `width` consecutive numbers and
+    within a block, so that no task orders all documents of a term.
+    """
+    counts = stream.groupBy("term", "doc_id").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("doc_id") / width))
+    ahead = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy("term", "block").agg(F.count("*").alias("docs")).select("term", "block", F.coalesce(F.sum("docs").over(ahead), F.lit(0)).alias("before"))
+    inner = F.row_number().over(Window.partitionBy("term", "block").orderBy("doc_id"))
+    rows = counts.withColumn("at", inner).join(blocks, ["term", "block"])
+    return rows.select("term", "doc_id", (F.col("before") + F.col("at") - 1).cast("int").alias("run"), "n")
 
 
 def scatter_max(stream: DataFrame, target: tuple[str, ...], value: str = "value") -> DataFrame:
@@ -35,5 +43,11 @@ def invariants(stream: DataFrame, arrays: DataFrame) -> DataFrame:
 
 
 def write(vectors: DataFrame, path: str, shard: str = "shard") -> None:
-    """Index of (shard, term, doc_id, pos, vec): a folder per shard, rows by term within a file, so that row groups carry its range."""
-    vectors.repartition(shard, "term").sortWithinPartitions(shard, "term", "doc_id", "pos").write.partitionBy(shard).mode("overwrite").parquet(path)
+    """Index of (shard, term, doc_id, pos, vec): a folder per shard, rows by term, document and position.
+
+    Files are ranges of (shard, term, doc_id) from a sample of the rows, so a
+    term in most documents is split over many; row groups carry the range of
+    their terms, and a reader that asks for one reads no others.
+    """
+    laid = vectors.repartitionByRange(shard, "term", "doc_id").sortWithinPartitions(shard, "term", "doc_id", "pos")
+    laid.write.partitionBy(shard).mode("overwrite").parquet(path)

@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from rankweave.functions import weights
 from rankweave.operators import rank, stats
-from rankweave.operators.dense import best_of_each
+from rankweave.operators.dense import Best
 from rankweave.operators.encode import Encoder, TwoTowers, pooled, sides
 
 MOST_QUERY_TOKENS = 100_000
@@ -163,10 +163,11 @@ def corpus_top_k(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encode
     weighting: cbm25, idf * total * saturated tf; plain, the sum of total; or a
     function of a term's (idf, df) that total is multiplied with. A document is
     whole in its row, so its score is summed where it is read, and a task puts
-    out no more than k documents a query and batch. Documents that share no
+    out no more than k documents a query. Documents that share no
     term with a query are absent.
     """
     kind, doc = query_arrays.schema["qid"].dataType.simpleString(), doc_arrays.schema["doc_id"].dataType.simpleString()
+    doc_type = to_arrow_type(doc_arrays.schema["doc_id"].dataType)
     asking, encoder = sides(encoder)
     k1, b = bm25
     out = None
@@ -182,7 +183,7 @@ def corpus_top_k(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encode
         qids, n = pa.array(pack.qids), len(pack.qids)
 
         def run(batches: Iterator[pa.RecordBatch], pack=pack, names=names, weight=weight, mean=mean, qids=qids, n=n) -> Iterator[pa.RecordBatch]:
-            step = max(16, HELD // max(n, 1))
+            step, best = max(16, HELD // max(n, 1)), Best(qids, doc_type, k)
             for whole in batches:
                 for low in range(0, whole.num_rows, step):
                     batch = whole.slice(low, step)
@@ -204,7 +205,8 @@ def corpus_top_k(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encode
                             own[numbers] += of * total
                             hit[numbers] = True
                         scores[hit, row] = own[hit]
-                    yield best_of_each(np.round(scores, rank.DIGITS), qids, batch.column(0), k)
+                    yield from best.add(np.round(scores, rank.DIGITS), batch.column(0))
+            yield from best.rest()
 
         part = doc_arrays.select("doc_id", "tokens").mapInArrow(run, f"qid {kind}, doc_id {doc}, score double")
         out = part if out is None else out.unionByName(part)

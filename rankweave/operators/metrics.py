@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,25 @@ def score_gap(run: DataFrame, k: int) -> DataFrame:
     """(qid, gap): the best score less the k-th, or the last where there are fewer."""
     rows = rank.top_k(run, k)
     return rows.groupBy("qid").agg(F.round(F.max("score") - F.min("score"), rank.DIGITS).alias("gap"))
+
+
+def tied_ndcg(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+    """(qid, ndcg): the nDCG that averages over all orders of documents with equal scores, as a check on `per_query`.
+
+    Gains and the ideal are those of the run's own documents, unjudged ones
+    with gain 0; a query without gain in its run has 0.
+    """
+    discounts = [1 / math.log2(place + 1) for place in range(1, k + 1)]
+    upto = F.array(*[F.lit(sum(discounts[:n])) for n in range(k + 1)])
+    at = lambda n: F.element_at(upto, (F.least(n, F.lit(k)) + 1).cast("int"))
+
+    def gained(rows: DataFrame, by: str, name: str) -> DataFrame:
+        groups = rows.groupBy("qid", by).agg(F.count("*").alias("n"), F.avg("gain").alias("mean"))
+        ahead = F.coalesce(F.sum("n").over(Window.partitionBy("qid").orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        groups = groups.withColumn("ahead", ahead)
+        return groups.groupBy("qid").agg(F.sum(F.col("mean") * (at(F.col("ahead") + F.col("n")) - at(F.col("ahead")))).alias(name))
+
+    rows = run.select("qid", "doc_id", "score").join(qrels.select("qid", "doc_id", "rel"), ["qid", "doc_id"], "left")
+    rows = rows.select("qid", "score", F.greatest(F.coalesce("rel", F.lit(0)), F.lit(0)).cast("double").alias("gain"))
+    both = gained(rows, "score", "dcg").join(gained(rows.withColumn("own", F.col("gain")), "own", "idcg"), "qid")
+    return both.select("qid", F.coalesce(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")), F.lit(0.0)).alias("ndcg"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Scores are ranked as they are shown, so that engines agree on ties; ties go to the smaller doc_id.
@@ -26,11 +26,15 @@ def top_k(run: DataFrame, k: int, by: tuple[str, ...] = ("qid",), descending_ids
     return ranked(run, by, descending_ids).where(F.col("rank") <= k)
 
 
+def split_and_shard(key: Column, n_splits: int, n_shards: int) -> tuple[Column, Column]:
+    """A lossless deal into splits by hash; ceil(n_splits / n_shards) consecutive splits make a shard."""
+    split = F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("long"), F.lit(n_splits))
+    return split.cast("int").alias("split"), F.floor(split / math.ceil(n_splits / n_shards)).cast("int").alias("shard")
+
+
 def shards(docs: DataFrame, n_splits: int, n_shards: int, key: str = "doc_id") -> DataFrame:
-    """(key, split, shard): a lossless deal into splits by hash; ceil(n_splits / n_shards) consecutive splits make a shard."""
-    each = math.ceil(n_splits / n_shards)
-    split = F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("long"), F.lit(n_splits))
-    return docs.select(key, split.cast("int").alias("split"), F.floor(split / each).cast("int").alias("shard"))
+    """(key, split, shard) of each row."""
+    return docs.select(key, *split_and_shard(F.col(key), n_splits, n_shards))
 
 
 def shard_top_k(run: DataFrame, shard_of: DataFrame, k: int) -> DataFrame:

@@ -75,9 +75,21 @@ def posting_weights(arrays: DataFrame, k1: float, b: float, kind: str = "plain",
     return weighted.select("doc_id", "term", "tf", "idf", (F.col("idf") * saturated).alias("weight"))
 
 
-def inverted_index(tf: DataFrame) -> DataFrame:
-    """(term, df, docs): the documents of each term, in order."""
-    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list("doc_id")).alias("docs"))
+def posting_blocks(tf: DataFrame, width: int = 4096) -> DataFrame:
+    """(term, block, n, first, gaps): a term's documents in blocks of `width` consecutive numbers.
+
+    gaps: from each document to the next, 0 for the first. No list is longer
+    than a block, whatever the term; doc_id is a number.
+    """
+    blocks = tf.groupBy("term", F.floor(F.col("doc_id") / width).alias("block")).agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    gaps = F.transform("docs", lambda d, i: d - F.when(i == 0, d).otherwise(F.get("docs", i - 1)))
+    return blocks.select("term", "block", F.size("docs").alias("n"), F.get("docs", F.lit(0)).alias("first"), gaps.alias("gaps"))
+
+
+def documents_of(blocks: DataFrame) -> DataFrame:
+    """(term, doc_id) of posting_blocks."""
+    ids = F.transform("gaps", lambda g, i: F.col("first") + F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    return blocks.select("term", F.explode(ids).alias("doc_id"))
 
 
 def offsets(counts: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.functions import text, vectors
-from rankweave.operators import codec, dense, encode, explain, fuse, index, interact, metrics, mining, rank, relevance, retrieve, significance, sparse, stats
-from rankweave.plans.context import DEPTH, NBITS, WINDOW, Collection, collection
+from rankweave.functions import stemming, subwords, text, vectors
+from rankweave.operators import codec, dense, encode, explain, fuse, index, interact, metrics, mining, packed, rank, relevance, retrieve, significance, sparse, stats
+from rankweave.plans.context import DEPTH, NBITS, WINDOW, Collection, collection, spread
 from rankweave.sources import readers, writers
 
 Plan = Callable[[Collection], DataFrame]
@@ -83,7 +83,7 @@ def q_shard_assign(c):
 
 @plan
 def q_run_to_map(c):
-    return rank.as_maps(c.bm25.where("rank <= 10").select("qid", "doc_id", F.col("rank").alias("score")))
+    return rank.as_maps(c.bm25.select("qid", "doc_id", F.col("score").cast("decimal(18,6)").alias("score")))
 
 
 @plan
@@ -107,6 +107,20 @@ def q_analyzed_tokens(c):
     return words.select("doc_id", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("tokens"))
 
 
+@plan
+def q_stemmed_tokens(c):
+    words = c.docs.select("doc_id", text.without_stop_words(text.tokens(F.col("text"))).alias("tokens"))
+    return stemming.stemmed(words).select("doc_id", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@plan
+def q_subword_tokens(c):
+    """Framed and truncated to 512, as an encoder takes them; shown without the special ones."""
+    rows = subwords.subwords(spread(c.docs.select("doc_id", "text")), c.vocabulary, 512)
+    content = text.without_special(F.col("pieces"), c.vocabulary.special)
+    return rows.select("doc_id", F.size("ids").alias("n"), F.array_join(content, " ").alias("tokens"), F.array_max("ends").alias("until"))
+
+
 # vectors
 
 
@@ -221,7 +235,7 @@ def q_bm25_weights(c):
 
 @plan
 def q_inverted_index(c):
-    return stats.inverted_index(c.tf).select("term", "df", F.array_join(F.transform("docs", lambda d: d.cast("string")), ",").alias("docs"))
+    return stats.posting_blocks(c.tf).withColumn("gaps", F.array_join(F.transform("gaps", lambda d: d.cast("string")), ","))
 
 
 # retrieval and scoring
@@ -232,6 +246,11 @@ def q_bm25_topk(c):
     return shown(c.bm25)
 
 
+@plan
+def q_bm25_indexed_topk(c):
+    return shown(c.index.search(c.qarr, DEPTH))
+
+
 @plan
 def q_bm25_lucene_topk(c):
     return shown(retrieve.bm25(c.darr, c.qarr, DEPTH, kind="smooth"))
@@ -332,9 +351,14 @@ def q_cbm25_compressed(c):
     return rank.rounded(run)
 
 
+@plan
+def q_cbm25_packed(c):
+    return rank.rounded(packed.cbm25(c.packed_postings, c.darr, c.qarr, c.encoder, c.codec, c.candidates, window=WINDOW))
+
+
 @plan
 def q_explain_max_cos(c):
-    return explain.best_matches(c.bm25.where("rank <= 10"), c.qstream, c.matches)
+    return explain.best_matches(c.bm25, c.qstream, c.matches)
 
 
 @plan
@@ -362,8 +386,7 @@ def q_splade_weighted(c):
 @plan
 def q_splade_dot_topk(c):
     q = sparse.max_pooled(encode.token_logits(c.qarr, c.encoder, "qid", WINDOW), "qid").withColumnRenamed("weight", "q_weight")
-    run = retrieve.postings_score(sparse.max_pooled(encode.token_logits(c.darr, c.encoder, window=WINDOW)), q)
-    return shown(rank.top_k(rank.rounded(run), 10))
+    return shown(retrieve.sparse_top_k(sparse.max_pooled(encode.token_logits(c.darr, c.encoder, window=WINDOW)), q, 10))
 
 
 @plan
@@ -381,8 +404,8 @@ def q_topk_per_query(c):
 
 @plan
 def q_shard_topk(c):
-    run = retrieve.bm25(c.darr, c.qarr, None).drop("rank")
-    return rank.shard_top_k(run, rank.shards(c.docs, 100, 10).select("doc_id", "shard"), 10).select("shard", "qid", "doc_id", "score", "rank")
+    rows = c.darr.withColumn("shard", rank.split_and_shard(F.col("doc_id"), 100, 10)[1])
+    return retrieve.bm25(rows, c.qarr, 10, shard="shard").select("shard", "qid", "doc_id", "score", "rank")
 
 
 @plan
@@ -515,6 +538,11 @@ def paired(c: Collection) -> DataFrame:
     return significance.paired_t(ndcg10(c, c.bm25), ndcg10(c, c.dense), "ndcg", ("dataset",))
 
 
+@plan
+def q_tied_ndcg(c):
+    return metrics.tied_ndcg(c.bm25.withColumn("score", F.round("score", 0)), c.qrels, 10).select("qid", r6(F.col("ndcg"), "ndcg"))
+
+
 @plan
 def q_paired_t_stat(c):
     return paired(c).select("dataset", "n", r6(F.col("t"), "t"))
@@ -527,9 +555,8 @@ def q_paired_t_p(c):
 
 @plan
 def q_bh_step_up(c):
-    """p-values of the step-up are stood in for by numbers from the runs: shares of each document's ranks."""
-    p = c.bm25.groupBy((F.col("doc_id") % 40).cast("string").alias("dataset")).agg((F.sum("rank") / (F.lit(4000.0) * F.count("*"))).alias("p"))
-    out = significance.step_up(p, 0.02, exclude=("7", "11"))
+    """Over the p-values of the paired tests, one dataset left out."""
+    out = significance.step_up(significance.with_p(paired(c)), 0.05, exclude=("set3",))
     return out.select("dataset", r6(F.col("p"), "p"), "rank", r6(F.col("adjusted"), "adjusted"), "rejected")
 
 

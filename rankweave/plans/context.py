@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.operators import codec, dense, encode, interact, rank, retrieve, stats
+from rankweave.functions import subwords
+from rankweave.operators import codec, dense, encode, interact, packed, postings, rank, retrieve, stats
+from rankweave.sources.folders import fresh, kept
 
 DEPTH, WINDOW, NBITS = 100, 3, 2
 
@@ -132,6 +134,18 @@ class Collection:
     def bm25(self) -> DataFrame:
         return retrieve.bm25(self.darr, self.qarr, DEPTH).persist()
 
+    @cached_property
+    def index(self) -> postings.Index:
+        """The BM25 index of the documents, written once to the shared folder."""
+        return postings.build(self.darr, fresh(self.spark, "index"))
+
+    @cached_property
+    def vocabulary(self) -> subwords.Vocabulary:
+        """Pieces of a public tokenizer's vocabulary."""
+        import public_tokenizers
+
+        return subwords.Vocabulary.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
     @cached_property
     def dense_docs(self) -> DataFrame:
         return encode.mean_pooled(self.darr, self.encoder)
@@ -176,6 +190,15 @@ class Collection:
     def bucket_row(self) -> DataFrame:
         return codec.buckets(codec.residuals(self.coded, self.centroids), NBITS).persist()
 
+    @cached_property
+    def codec(self) -> packed.Codec:
+        return packed.Codec.of(self.centroids, self.bucket_row, NBITS)
+
+    @cached_property
+    def packed_postings(self) -> DataFrame:
+        """Packed token vectors of the documents, written once to the shared folder."""
+        return kept(packed.postings(self.darr, self.encoder, self.codec, window=WINDOW), "packed")
+
     @cached_property
     def compressed(self) -> DataFrame:
         return codec.compressed(self.vectors.drop("label"), self.centroids, self.bucket_row)

@@ -158,6 +158,10 @@ CTES: dict[str, str] = {
     "dpool2": f"SELECT doc_id, pos, term, {unit('m')} AS u FROM dmean2",
     "qpool2": f"SELECT qid, pos, term, {unit('m')} AS u FROM qmean2",
     "cmatch2": matched("dpool2", "qpool2", "bm25"),
+    "dcode": "SELECT doc_id, pos, term, u, c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY round(list_dot_product(u, c), 9) DESC, code) AS n FROM (SELECT * FROM dpool WHERE term IN (SELECT term FROM qtf) AND doc_id IN (SELECT doc_id FROM bm25)), centroid) WHERE n = 1",
+    "dlevel": "SELECT doc_id, pos, term, list_transform(list_zip(u, c), lambda p: p[2] + weights[len(list_filter(cutoffs, lambda k: p[1] - p[2] > k)) + 1]) AS m FROM dcode, bucket",
+    "dpacked": f"SELECT doc_id, pos, term, {unit('m')} AS u FROM dlevel",
+    "cmatch3": matched("dpacked", "qpool", "bm25"),
     "ce": "SELECT qid, doc_id AS pid, score AS ce FROM cbm25",
     "lists": """SELECT l.qid, system, rank, l.pid, ce FROM (SELECT qid, 'bm25' AS system, rank, doc_id AS pid FROM bm25 WHERE rank <= 30 UNION ALL SELECT qid, 'dense', rank, doc_id FROM dense WHERE rank <= 30) l
   ANTI JOIN qrels r ON l.qid = r.qid AND l.pid = r.doc_id LEFT JOIN ce ON ce.qid = l.qid AND ce.pid = l.pid""",
@@ -208,7 +212,7 @@ SELECTS: dict[str, str] = {
     "doc_stats": "SELECT n_docs, n_tokens, round(mean_len, 6) AS mean_len FROM summary",
     "doc_length": "SELECT doc_id, doc_len FROM dlen",
     "bm25_weights": f"SELECT doc_id, term, tf, round({bm25_weight(0.9, 0.4)}, 6) AS weight FROM tf JOIN df USING (term) JOIN dlen USING (doc_id), summary",
-    "inverted_index": "SELECT term, count(*) AS df, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM tf GROUP BY term",
+    "inverted_index": "SELECT term, block, count(*)::INT AS n, min(doc_id) AS first, string_agg(gap::VARCHAR, ',' ORDER BY doc_id) AS gaps FROM (SELECT term, doc_id, doc_id // 4096 AS block, coalesce(doc_id - lag(doc_id) OVER (PARTITION BY term, doc_id // 4096 ORDER BY doc_id), 0) AS gap FROM tf) GROUP BY term, block",
     "bm25_topk": RUN.format("bm25"),
     "bm25_lucene_topk": RUN.format("(" + ranked(bm25_scores(True), 100) + ")"),
     "cbm25": RUN.format("cbm25"),
@@ -230,7 +234,8 @@ SELECTS: dict[str, str] = {
     "rerank_dense": "SELECT p.qid, p.doc_id, round(list_cosine_similarity(q.vec, d.vec), 6) AS score FROM bm25 p JOIN qdense q ON q.qid = p.qid JOIN ddense d ON d.doc_id = p.doc_id",
     "dense_topk": RUN.format("dense"),
     "cbm25_compressed": contextual("cmatch2", 0.82, 0.65),
-    "explain_max_cos": "SELECT p.qid, p.doc_id, q.term, round(coalesce(best, 0), 6) AS best FROM bm25 p JOIN (SELECT DISTINCT qid, term FROM qstream) q ON q.qid = p.qid LEFT JOIN cmatch m ON m.qid = p.qid AND m.doc_id = p.doc_id AND m.term = q.term WHERE rank <= 10",
+    "cbm25_packed": contextual("cmatch3", 0.82, 0.65),
+    "explain_max_cos": "SELECT p.qid, p.doc_id, q.term, round(coalesce(best, 0), 6) AS best FROM bm25 p JOIN (SELECT DISTINCT qid, term FROM qstream) q ON q.qid = p.qid LEFT JOIN cmatch m ON m.qid = p.qid AND m.doc_id = p.doc_id AND m.term = q.term",
     "splade_max": "SELECT doc_id, term, round(weight, 6) AS weight FROM dsparse",
     "splade_mean": "SELECT doc_id, term, round(sum(s) / max(doc_len), 6) AS weight FROM dlogit JOIN dlen USING (doc_id) GROUP BY doc_id, term",
     "splade_weighted": "SELECT qid, term, round(weight * sqrt(CASE WHEN df >= 2 THEN idf ELSE 1 END), 6) AS weight FROM qsparse LEFT JOIN idf USING (term)",
@@ -258,9 +263,6 @@ SELECTS: dict[str, str] = {
     "per_query_metrics": f"SELECT * FROM {per_query('cbm25')}",
     "metric_macro_avg": " UNION ALL ".join(f"SELECT k, '{m}' AS metric, round(avg({m}), 6) AS value FROM pq GROUP BY k" for m in CUT_METRICS),
     "paired_t_stat": "SELECT dataset, n, round(CASE WHEN sd > 0 THEN mean / (sd / sqrt(n)) END, 6) AS t FROM paired",
-    "bh_step_up": """SELECT dataset, round(p, 6) AS p, rank, round(adjusted, 6) AS adjusted, min(adjusted) OVER (ORDER BY p, dataset ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) < 0.02::DOUBLE AS rejected
-  FROM (SELECT *, p * count(*) OVER () / rank AS adjusted FROM (SELECT *, row_number() OVER (ORDER BY p, dataset)::INT AS rank FROM
-    (SELECT (doc_id % 40)::VARCHAR AS dataset, sum(rank) / (4000.0::DOUBLE * count(*)) AS p FROM bm25 GROUP BY 1) WHERE dataset NOT IN ('7', '11')))""",
     "query_wins": f"SELECT * FROM ({changes('nd_cbm25', 'nd_half', 'nd_dense')}) WHERE d1 > 0.2::DOUBLE AND d2 > 0.2::DOUBLE",
     "query_losses": f"SELECT * FROM ({changes('nd_dense', 'nd_bm25', 'nd_cbm25')}) WHERE d1 < -0.01::DOUBLE AND d2 < -0.01::DOUBLE",
     "diff_summary": "SELECT count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, round(min(d), 6) AS min, round(quantile_cont(d, 0.25), 6) AS q25, round(quantile_cont(d, 0.5), 6) AS q50, round(quantile_cont(d, 0.75), 6) AS q75, round(max(d), 6) AS max FROM (SELECT a.score - b.score AS d FROM bm25 a JOIN dense b USING (qid, doc_id))",
@@ -310,7 +312,17 @@ SELECTS["coil_train_records"] = """SELECT p.qid, p.doc_id AS pid, to_json({'qry'
   LEFT JOIN (SELECT s.qid AS nqid, list({'pid': s.pid, 'passage': t.tokens} ORDER BY place) AS neg FROM single s JOIN darr t ON t.doc_id = s.pid WHERE place <= 3 GROUP BY s.qid) ON nqid = p.qid"""
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 SELECTS["analyzed_tokens"] = f"SELECT doc_id, len(t)::INT AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, list_filter(tokens, lambda w: NOT list_contains([{STOP}], w)) AS t FROM darr)"
-SELECTS["run_to_map"] = """SELECT qid, '{' || string_agg('"' || doc_id || '":' || rank, ',' ORDER BY doc_id::VARCHAR) || '}' AS docs FROM bm25 WHERE rank <= 10 GROUP BY qid"""
+SELECTS["run_to_map"] = """SELECT qid, '{' || string_agg('"' || doc_id || '":' || score::DECIMAL(18,6), ',' ORDER BY doc_id::VARCHAR) || '}' AS docs FROM bm25 GROUP BY qid"""
+SELECTS["bm25_indexed_topk"] = SELECTS["bm25_topk"]
+P_VALUES = SELECTS["paired_t_p"].replace("round(1 - CASE", "(1 - CASE").replace("END, 6) AS p", "END) AS p")
+SELECTS["bh_step_up"] = f"""SELECT dataset, round(p, 6) AS p, rank, round(adjusted, 6) AS adjusted, min(adjusted) OVER (ORDER BY p, dataset ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) < 0.05::DOUBLE AS rejected
+  FROM (SELECT *, p * count(*) OVER () / rank AS adjusted FROM (SELECT dataset, p, row_number() OVER (ORDER BY p, dataset)::INT AS rank FROM ({P_VALUES}) WHERE p IS NOT NULL AND dataset <> 'set3'))"""
+SELECTS["tied_ndcg"] = """WITH g AS (SELECT qid, round(score, 0) AS score, coalesce(rel, 0)::DOUBLE AS gain FROM bm25 LEFT JOIN qrels USING (qid, doc_id)),
+  own AS (SELECT 'dcg' AS kind, qid, score AS level, gain FROM g UNION ALL SELECT 'idcg', qid, gain, gain FROM g),
+  tied AS (SELECT kind, qid, level, count(*) AS n, avg(gain) AS mean FROM own GROUP BY ALL),
+  placed AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY kind, qid ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM tied),
+  sums AS (SELECT qid, kind, sum(mean * coalesce(list_sum(list_transform(range(least(ahead, 10) + 1, least(ahead + n, 10) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))), 0)) AS v FROM placed GROUP BY ALL)
+  SELECT a.qid, round(CASE WHEN b.v > 0 THEN a.v / b.v ELSE 0 END, 6) AS ndcg FROM sums a JOIN sums b ON a.qid = b.qid AND a.kind = 'dcg' AND b.kind = 'idcg'"""
 SELECTS["pair_scorer"] = r"""SELECT p.qid, p.doc_id, round(len(list_intersect(q.w, d.w))::DOUBLE / len(q.w), 6) AS score FROM bm25 p
   JOIN (SELECT item_id, list_distinct(string_split_regex(trim(lower(text)), '\s+')) AS w FROM benchmark) q ON q.item_id = p.qid
   JOIN (SELECT doc_id, list_distinct(string_split_regex(trim(lower(text)), '\s+')) AS w FROM documents) d ON d.doc_id = p.doc_id"""
