@@ -40,7 +40,7 @@ def main() -> None:
 
     def index_build(c: Collection) -> DataFrame:
         vectors = encode.token_vectors(c.darr, c.encoder, window=WINDOW)
-        return vectors.repartition("term").sortWithinPartitions("term", "doc_id", "pos")
+        return vectors.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "pos")
 
     plans = {name: catalog.PLANS[name] for name in ("bm25_topk", "cbm25", "cbm25_full", "dense_cosine_topk", "dense_topk", "weight_sweep", "metric_macro_avg", "rsj_delta", "codec_compress", "hard_neg_margin")}
     plans["index_build"] = index_build

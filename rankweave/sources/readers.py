@@ -70,19 +70,26 @@ def positive_list(records: DataFrame, scored: bool = True) -> DataFrame:
 
 
 def ce_scores(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, pid, ce) from Parquet; a pickle of them is to be converted once, outside, for unpickling runs its code."""
+    """(qid, pid, ce) from Parquet; `pickles.ce_pickles` reads their pickles without running them."""
     return spark.read.schema("qid long, pid long, ce double").parquet(path)
 
 
 def run_json(spark: SparkSession, path: str, by_scorer: bool = False) -> DataFrame:
-    """([scorer,] qid, doc_id, score) from a JSON object {qid: {doc_id: score}}, or {scorer: {...}}."""
-    kind = "map<string,map<string,double>>"
-    whole = spark.read.text(path, wholetext=True)
+    """([scorer,] qid, doc_id, score) from a JSON object {qid: {doc_id: score}}, or {scorer: {...}}.
+
+    A file of {qid: {...}} is cut where an inner object ends, so a large one is
+    read by several tasks; a key with a brace in it ends the query with an
+    error. One by scorer is read whole, a file a task.
+    """
     if by_scorer:
-        rows = whole.select(F.explode(F.from_json("value", f"map<string,{kind}>")).alias("scorer", "run"))
+        whole = spark.read.text(path, wholetext=True)
+        rows = whole.select(F.explode(F.from_json("value", "map<string,map<string,map<string,double>>>")).alias("scorer", "run"))
         rows = rows.select("scorer", F.explode("run").alias("qid", "docs"))
         return rows.select("scorer", "qid", F.explode("docs").alias("doc_id", "score"))
-    rows = whole.select(F.explode(F.from_json("value", kind)).alias("qid", "docs"))
+    parts = spark.read.text(path, lineSep="}").where(~F.col("value").rlike(r"^[\s{},]*$"))
+    begun = F.regexp_replace("value", r"^[\s,]*\{?[\s,]*(?=\")", "")
+    member = F.from_json(F.concat(F.lit("{"), begun, F.lit("}}")), "map<string,map<string,double>>", {"mode": "FAILFAST"})
+    rows = parts.select(F.explode(member).alias("qid", "docs"))
     return rows.select("qid", F.explode("docs").alias("doc_id", "score"))
 
 
