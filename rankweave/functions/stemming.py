@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Suffixes of steps 2, 3 and 4 with what replaces them, as published; the longest that fits counts.
@@ -101,7 +102,7 @@ def stemmed(arrays: DataFrame, key: str = "doc_id") -> DataFrame:
             if len(known) > KNOWN:
                 known.clear()
             stems = pa.array(found, pa.string()).take(words.indices)
-            offsets = pa.compute.subtract(lists.offsets, lists.offsets[0])
+            offsets = pc.subtract(lists.offsets, lists.offsets[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, stems)], [key, "tokens"])
 
     return arrays.select(key, "tokens").mapInArrow(run, f"`{key}` {kind}, tokens array<string>")
