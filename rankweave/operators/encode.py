@@ -9,23 +9,19 @@ so no token vector is ever shuffled.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
-from itertools import islice
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors that travel with a stand-in encoder; a larger table goes to every executor as a file.
+from rankweave.sources.folders import arrow_files, fresh
+
+#: Vectors that travel with a stand-in encoder; those of a larger table stay in the shared folder.
 MOST_VECTORS = 1 << 17
 
 
@@ -65,51 +61,96 @@ class VocabularyEncoder:
         self.vectors, self.dim = vectors.astype(np.float64), vectors.shape[1] if vectors.size else 0
         self.known: dict[str, int] = {}
 
+    @staticmethod
+    def number(token: str, n: int) -> int:
+        return int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % n
+
     @staticmethod
     def from_table(table: DataFrame, most: int = MOST_VECTORS) -> VocabularyEncoder:
-        """Of (vec_id, embedding), all rows in the order of vec_id; more than `most` are read from a file that is mapped into memory."""
-        rows = table.select("vec_id", "embedding").orderBy("vec_id")
+        """Of (vec_id, embedding), all rows with an embedding in the order of vec_id; more than `most` stay in the shared folder."""
+        rows = table.where("embedding is not null").select("vec_id", "embedding")
         n = rows.count()
         if n <= most:
-            found = rows.collect()
-            return VocabularyEncoder(np.array([r.embedding for r in found], dtype=np.float64).reshape(len(found), -1))
-        return FiledEncoder(rows, n)
+            found = rows.orderBy("vec_id").toArrow()["embedding"].combine_chunks()  # bounded by most
+            values = found.flatten().to_numpy(zero_copy_only=False)
+            return VocabularyEncoder(np.asarray(values, np.float64).reshape(n, -1) if n else np.zeros((0, 0)))
+        return FiledEncoder(rows)
 
     def encode(self, tokens: list[str]) -> np.ndarray:
         known, n = self.known, len(self.vectors)
         if len(known) > 200_000:
             known.clear()
         for token in set(tokens) - known.keys():
-            known[token] = int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % n
+            known[token] = self.number(token, n)
         return self.vectors[[known[t] for t in tokens]]
 
 
 class FiledEncoder(VocabularyEncoder):
-    """A VocabularyEncoder whose vectors are a file, which Spark sends to the executors and no process holds in memory."""
-
-    def __init__(self, rows: DataFrame, n: int):
-        folder = tempfile.mkdtemp(prefix="rankweave-vectors-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        self.name = f"vectors-{uuid.uuid4().hex}.npy"
-        path, found, vectors, at = os.path.join(folder, self.name), rows.toLocalIterator(), None, 0
-        while some := [r.embedding for r in islice(found, 4096)]:
-            part = np.array(some, dtype=np.float64)
-            if vectors is None:
-                vectors = np.lib.format.open_memmap(path, "w+", np.float64, (n, part.shape[1]))
-            vectors[at : at + len(part)] = part
-            at += len(part)
-        vectors.flush()
-        rows.sparkSession.sparkContext.addFile(path)
-        self.vectors, self.dim, self.known = np.load(path, mmap_mode="r"), vectors.shape[1], {}
+    """A VocabularyEncoder whose vectors stay in the shared folder, written there by tasks and read from there a vector at a time.
+
+    Each task writes its range of vec_id as raw numbers; how many it wrote is
+    all that comes to the driver. An encoder remembers the vectors it has met
+    last, so no process ever holds the table.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.folder = fresh(rows.sparkSession, "vectors")
+        folder = self.folder
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, n, dim = TaskContext.get().partitionId(), 0, 0
+            files, root = arrow_files(folder)
+            files.create_dir(root, recursive=True)
+            name = f"{root}/{part}-{TaskContext.get().taskAttemptId()}"
+            with files.open_output_stream(name) as out:
+                for batch in batches:
+                    vectors = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), np.float64)
+                    n, dim = n + batch.num_rows, len(vectors) // batch.num_rows if batch.num_rows else dim
+                    out.write(vectors.tobytes())
+            files.move(name, f"{root}/{part}")  # a task that runs again writes the same
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, n, dim)], ["part", "n", "dim"])
+
+        laid = rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("embedding")
+        parts = sorted(map(tuple, laid.mapInArrow(write, "part long, n long, dim long").collect()))  # a row a task
+        self.parts = np.array([part for part, n, _ in parts if n], np.int64)
+        self.ends = np.cumsum([n for _, n, _ in parts if n])
+        self.dim = max(dim for _, _, dim in parts)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.met: dict[int, np.ndarray] = {}
+        self.open: dict[int, pa.NativeFile] = {}
 
     def __getstate__(self) -> dict:
-        return {"name": self.name, "dim": self.dim}
+        return {"folder": self.folder, "parts": self.parts, "ends": self.ends, "dim": self.dim}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state | {"known": {}, "vectors": np.load(SparkFiles.get(state["name"]), mmap_mode="r")}
+        self.__dict__ |= state
+        self._forget()
+
+    def __len__(self) -> int:
+        return int(self.ends[-1])
+
+    def _read(self, number: int) -> np.ndarray:
+        at = int(np.searchsorted(self.ends, number, "right"))
+        if at not in self.open:
+            files, root = arrow_files(self.folder)
+            self.open[at] = files.open_input_file(f"{root}/{self.parts[at]}")
+        size = self.dim * 8
+        return np.frombuffer(self.open[at].read_at(size, (number - (int(self.ends[at - 1]) if at else 0)) * size))
 
     def encode(self, tokens: list[str]) -> np.ndarray:
-        return np.asarray(super().encode(tokens))
+        if len(self.known) > 200_000:
+            self.known.clear()
+        if len(self.met) > MOST_VECTORS // 4:
+            self.met.clear()
+        for token in set(tokens) - self.known.keys():
+            self.known[token] = self.number(token, len(self))
+        numbers = [self.known[t] for t in tokens]
+        for number in sorted(set(numbers) - self.met.keys()):
+            self.met[number] = self._read(number)
+        return np.array([self.met[i] for i in numbers]).reshape(len(tokens), self.dim)
 
 
 class TwoTowers:

@@ -107,7 +107,7 @@ CTES: dict[str, str] = {
     "qrels": "SELECT b.item_id AS qid, d.doc_id, 1 AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "bm25_all": bm25_scores(False),
     "bm25": ranked("SELECT * FROM bm25_all", 100),
-    "vocab": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS v FROM embeddings",
+    "vocab": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL",
     "words": "SELECT term, ('0x' || substr(md5(term), 1, 7))::BIGINT % (SELECT count(*) FROM vocab) AS i FROM (SELECT term FROM df UNION SELECT term FROM qtf)",
     "termvec": "SELECT term, v FROM words JOIN vocab USING (i)",
     "dmean": smoothed("dstream", "doc_id", "termvec"),

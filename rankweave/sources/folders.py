@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,6 +42,12 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def arrow_files(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path that Spark's readers know, and the path within it."""
+    scheme, mark, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else path)
+
+
 def kept(rows: DataFrame, name: str) -> DataFrame:
     """rows written to a fresh path as Parquet and read again: later plans know their size and start from them."""
     path = fresh(rows.sparkSession, name)

@@ -434,6 +434,10 @@ def test_encoder_takes_the_whole_table(spark, small):
     whole = encode.VocabularyEncoder(np.column_stack([np.arange(n), np.ones(n)]))
     found = encode.VocabularyEncoder.from_table(table)
     tokens = [f"word{i}" for i in range(2000)]
-    assert len(found.vectors) == n and np.array_equal(found.encode(tokens), whole.encode(tokens))
+    assert len(found) == n and np.array_equal(found.encode(tokens), whole.encode(tokens))
     rows = lambda encoder: sorted((r.doc_id, r.pos, tuple(r.vec)) for r in encode.token_vectors(small[0], encoder).collect())
     assert rows(found) == rows(whole) != []
+    again = encode.VocabularyEncoder.from_table(table.union(spark.createDataFrame([(5, None)], "vec_id long, embedding array<double>")), 10)
+    assert len(again) == n and np.array_equal(again.encode(tokens[:50]), whole.encode(tokens[:50]))
+    few = encode.VocabularyEncoder.from_table(table.where("vec_id < 3").union(spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")))
+    assert few.vectors.tolist() == [[0, 1], [1, 1], [2, 1]]
