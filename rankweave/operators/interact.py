@@ -157,6 +157,42 @@ def query_term_idf(doc_arrays: DataFrame, query_arrays: DataFrame) -> DataFrame:
     return doc_arrays.sparkSession.createDataFrame(rows, "term string, df long, idf double")
 
 
+class _Scores:
+    """What a document gives each query of a pack: the sum over shared terms of the term's weight times its total."""
+
+    def __init__(self, doc_arrays: DataFrame, pack: QueryPack, encoder: Encoder, weighting: str | Callable[[np.ndarray, np.ndarray], np.ndarray], bm25: tuple[float, float], window: int, pooler: str):
+        self.pack, self.encoder, self.window, self.pooler = pack, encoder, window, pooler
+        self.names = {term: at for at, term in enumerate(pack.by_term)}
+        self.mean, self.weight, self.bm25 = 1.0, np.ones(len(self.names)), bm25 if weighting == "cbm25" else None
+        if weighting != "plain":
+            n_docs, n_tokens, df = stats.term_counts(doc_arrays, self.names)
+            idf = np.log(n_docs / np.maximum(df, 1)) if n_docs else np.zeros(len(df))
+            self.mean, self.weight = n_tokens / max(n_docs, 1), idf if weighting == "cbm25" else weighting(idf, df)
+
+    def of(self, tokens: list[str], allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+        """(score, whether a term is shared) by query, or None; allowed: the queries that are asked for."""
+        places: dict[str, list[int]] = defaultdict(list)
+        for pos, token in enumerate(tokens):
+            if token in self.names:
+                places[token].append(pos)
+        if allowed is not None:
+            places = {term: at for term, at in places.items() if allowed[self.pack.by_term[term][0]].any()}
+        if not places:
+            return None
+        n = len(self.pack.qids)
+        vectors, score, hit = pooled(self.encoder, tokens, self.pooler, self.window), np.zeros(n), np.zeros(n, bool)
+        for term, at in places.items():
+            numbers, starts, asked = self.pack.by_term[term]
+            total = np.add.reduceat(np.maximum((asked @ vectors[at].T).max(axis=1), 0), starts)
+            of = self.weight[self.names[term]]
+            if self.bm25:
+                k1, b = self.bm25
+                of = of * len(at) * (1 + k1) / (len(at) + k1 * (1 - b + b * len(tokens) / self.mean))
+            score[numbers] += of * total
+            hit[numbers] = True
+        return score, hit if allowed is None else hit & allowed
+
+
 def corpus_top_k(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder | TwoTowers, k: int, weighting: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "cbm25", bm25: tuple[float, float] = weights.RERANK, window: int = 3, pooler: str = "local_average") -> DataFrame:
     """(qid, doc_id, score, rank): the k best documents of the whole corpus for each query, as the scorers of exact_matches rank them.
 
@@ -169,42 +205,21 @@ def corpus_top_k(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encode
     kind, doc = query_arrays.schema["qid"].dataType.simpleString(), doc_arrays.schema["doc_id"].dataType.simpleString()
     doc_type = to_arrow_type(doc_arrays.schema["doc_id"].dataType)
     asking, encoder = sides(encoder)
-    k1, b = bm25
     out = None
     for group in query_groups(query_arrays):
-        pack = QueryPack(group, asking, pooler, window)
-        names = {term: at for at, term in enumerate(pack.by_term)}
-        if weighting == "plain":
-            mean, weight = 1.0, np.ones(len(names))
-        else:
-            n_docs, n_tokens, df = stats.term_counts(doc_arrays, names)
-            mean, idf = n_tokens / max(n_docs, 1), np.log(n_docs / np.maximum(df, 1)) if n_docs else np.zeros(len(df))
-            weight = idf if weighting == "cbm25" else weighting(idf, df)
-        qids, n = pa.array(pack.qids), len(pack.qids)
-
-        def run(batches: Iterator[pa.RecordBatch], pack=pack, names=names, weight=weight, mean=mean, qids=qids, n=n) -> Iterator[pa.RecordBatch]:
-            step, best = max(16, HELD // max(n, 1)), Best(qids, doc_type, k)
+        scores_of = _Scores(doc_arrays, QueryPack(group, asking, pooler, window), encoder, weighting, bm25, window, pooler)
+
+        def run(batches: Iterator[pa.RecordBatch], scores_of: _Scores = scores_of) -> Iterator[pa.RecordBatch]:
+            n = len(scores_of.pack.qids)
+            step, best = max(16, HELD // max(n, 1)), Best(pa.array(scores_of.pack.qids), doc_type, k)
             for whole in batches:
                 for low in range(0, whole.num_rows, step):
                     batch = whole.slice(low, step)
                     scores = np.full((n, batch.num_rows), -np.inf)
                     for row, tokens in enumerate(batch.column(1).to_pylist()):
-                        places: dict[str, list[int]] = defaultdict(list)
-                        for pos, token in enumerate(tokens):
-                            if token in names:
-                                places[token].append(pos)
-                        if not places:
-                            continue
-                        vectors, own, hit = pooled(encoder, tokens, pooler, window), np.zeros(n), np.zeros(n, bool)
-                        for term, at in places.items():
-                            numbers, starts, asked = pack.by_term[term]
-                            total = np.add.reduceat(np.maximum((asked @ vectors[at].T).max(axis=1), 0), starts)
-                            of = weight[names[term]]
-                            if weighting == "cbm25":
-                                of = of * len(at) * (1 + k1) / (len(at) + k1 * (1 - b + b * len(tokens) / mean))
-                            own[numbers] += of * total
-                            hit[numbers] = True
-                        scores[hit, row] = own[hit]
+                        if found := scores_of.of(tokens):
+                            own, hit = found
+                            scores[hit, row] = own[hit]
                     yield from best.add(np.round(scores, rank.DIGITS), batch.column(0))
             yield from best.rest()
 
@@ -214,6 +229,44 @@ def corpus_top_k(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encode
     return rank.top_k(found, k)
 
 
+def candidate_scores(doc_arrays: DataFrame, query_arrays: DataFrame, encoder: Encoder | TwoTowers, candidates: DataFrame, weighting: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "cbm25", bm25: tuple[float, float] = weights.RERANK, window: int = 3, pooler: str = "local_average") -> DataFrame:
+    """(qid, doc_id, score): the scores of corpus_top_k for the pairs (qid, doc_id) of candidates, summed where a document is read.
+
+    Statistics are those of the whole corpus; only documents that are
+    candidates are encoded. Pairs without a shared term are absent; rows of
+    documents with one doc_id are scored apart.
+    """
+    kind, doc = query_arrays.schema["qid"].dataType.simpleString(), doc_arrays.schema["doc_id"].dataType.simpleString()
+    wanted = candidates.groupBy("doc_id").agg(F.collect_set("qid").alias("wanted"))
+    rows = doc_arrays.select("doc_id", "tokens").join(wanted, "doc_id")
+    qid_type = to_arrow_type(query_arrays.schema["qid"].dataType)
+    asking, encoder = sides(encoder)
+    out = None
+    for group in query_groups(query_arrays):
+        scores_of = _Scores(doc_arrays, QueryPack(group, asking, pooler, window), encoder, weighting, bm25, window, pooler)
+
+        def run(batches: Iterator[pa.RecordBatch], scores_of: _Scores = scores_of) -> Iterator[pa.RecordBatch]:
+            qids = pa.array(scores_of.pack.qids, qid_type)
+            number = {q: at for at, q in enumerate(scores_of.pack.qids)}
+            for batch in batches:
+                owners, places, scores = [], [], []
+                for row, (tokens, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    allowed = np.zeros(len(number), bool)
+                    allowed[[number[q] for q in own if q in number]] = True
+                    if found := scores_of.of(tokens, allowed):
+                        score, hit = found
+                        at = np.flatnonzero(hit)
+                        owners.append(at)
+                        places.append(np.full(len(at), row))
+                        scores.append(score[at])
+                owner, place, score = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((owners, np.int64), (places, np.int64), (scores, np.float64)))
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(owner)), batch.column(0).take(pa.array(place)), pa.array(score)], ["qid", "doc_id", "score"])
+
+        part = rows.mapInArrow(run, f"qid {kind}, doc_id {doc}, score double")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else doc_arrays.sparkSession.createDataFrame([], f"qid {kind}, doc_id {doc}, score double")
+
+
 METRICS = ("cosine", "l2")
 
 

@@ -9,16 +9,19 @@ from rankweave.functions import weights
 from rankweave.operators import rank
 
 
-def term_weights(postings: DataFrame, query_terms: DataFrame, relevant: DataFrame, n_docs: DataFrame) -> DataFrame:
+def term_weights(postings: DataFrame, query_terms: DataFrame, relevant: DataFrame, n_docs: DataFrame, n_term: DataFrame | None = None) -> DataFrame:
     """(qid, term, n_rel, n_term, n_rel_term, rsj).
 
     postings (doc_id, term), one row each; query_terms (qid, term), one row
     each; relevant (qid, doc_id). Queries without relevant documents are absent.
+    n_term (term, n_term), where documents are counted already: postings may
+    then be those of relevant documents alone.
     """
-    wanted = postings.join(query_terms.select("term").distinct(), "term", "left_semi")
-    n_term = wanted.groupBy("term").agg(F.count("*").alias("n_term"))
+    if n_term is None:
+        wanted = postings.join(query_terms.select("term").distinct(), "term", "left_semi")
+        n_term = wanted.groupBy("term").agg(F.count("*").alias("n_term"))
     n_rel = relevant.groupBy("qid").agg(F.count("*").alias("n_rel"))
-    both = relevant.join(wanted, "doc_id").groupBy("qid", "term").agg(F.count("*").alias("n_rel_term"))
+    both = relevant.join(postings, "doc_id").join(query_terms, ["qid", "term"], "left_semi").groupBy("qid", "term").agg(F.count("*").alias("n_rel_term"))
     rows = query_terms.join(n_rel, "qid").join(n_term, "term", "left").join(both, ["qid", "term"], "left")
     rows = rows.na.fill(0, ["n_term", "n_rel_term"]).crossJoin(F.broadcast(n_docs.select("n_docs")))
     value = weights.relevance_weight(F.col("n_docs"), F.col("n_rel"), F.col("n_term"), F.col("n_rel_term"))

@@ -347,8 +347,7 @@ def compressed_encoder(c: Collection) -> encode.VocabularyEncoder:
 
 @plan
 def q_cbm25_compressed(c):
-    run = interact.cbm25(c.darr, c.qarr, compressed_encoder(c), c.candidates, window=WINDOW).withColumnRenamed("maxsim_bm25_qtf", "score")
-    return rank.rounded(run)
+    return rank.rounded(interact.candidate_scores(c.darr, c.qarr, compressed_encoder(c), c.candidates, window=WINDOW))
 
 
 @plan
@@ -594,13 +593,19 @@ def query_terms(c: Collection) -> DataFrame:
     return c.qstream.select("qid", "term").distinct()
 
 
+def weights_under(c: Collection, relevant: DataFrame) -> DataFrame:
+    """Query terms are counted in one pass over the documents; terms are read of relevant documents only."""
+    read = c.darr.join(relevant.select("doc_id").distinct(), "doc_id", "left_semi")
+    postings = read.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    return relevance.term_weights(postings, query_terms(c), relevant, c.summary, c.query_idf.select("term", F.col("df").alias("n_term")))
+
+
 def by_qrels(c: Collection) -> DataFrame:
-    return relevance.term_weights(c.tf, query_terms(c), c.qrels.where("rel > 0").select("qid", "doc_id"), c.summary)
+    return weights_under(c, c.qrels.where("rel > 0").select("qid", "doc_id"))
 
 
 def delta(c: Collection) -> DataFrame:
-    by_run = relevance.term_weights(c.tf, query_terms(c), relevance.run_as_relevant(c.bm25.drop("rank"), 10), c.summary)
-    return relevance.change(by_run, by_qrels(c))
+    return relevance.change(weights_under(c, relevance.run_as_relevant(c.bm25.drop("rank"), 10)), by_qrels(c))
 
 
 @plan

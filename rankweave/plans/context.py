@@ -168,8 +168,8 @@ class Collection:
 
     @cached_property
     def cbm25(self) -> DataFrame:
-        scored = interact.scored(self.matches, self.query_idf, self.summary)
-        return rank.ranked(rank.rounded(scored.withColumnRenamed("maxsim_bm25_qtf", "score"))).persist()
+        scored = interact.candidate_scores(self.darr, self.qarr, self.encoder, self.candidates, window=WINDOW)
+        return rank.ranked(rank.rounded(scored)).persist()
 
     @cached_property
     def vectors(self) -> DataFrame:

@@ -152,6 +152,27 @@ def small(spark):
     return docs, arrays(spark, "qid", [(7, ["a", "a", "d"]), (9, ["z", "b"]), (10, [])])
 
 
+def test_candidates_are_scored_where_they_are_read(spark, small):
+    docs, queries = small
+    pairs = docs.select("doc_id").crossJoin(queries.select("qid")).where("doc_id <> 2").union(spark.createDataFrame([(99, 9), (1, 77)], "doc_id long, qid long"))
+    matches = interact.exact_matches(docs, queries, Table(), pairs.select("qid", "doc_id"))
+    want = {(r.qid, r.doc_id): r.maxsim_bm25_qtf for r in interact.scored(matches, interact.query_term_idf(docs, queries), stats.summary(docs)).collect()}
+    got = {(r.qid, r.doc_id): r.score for r in interact.candidate_scores(docs, queries, Table(), pairs.select("qid", "doc_id")).collect()}
+    assert want and got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    assert interact.candidate_scores(docs, queries.where("false"), Table(), pairs).count() == 0
+    assert interact.candidate_scores(docs, queries, Table(), pairs.where("false")).count() == 0
+
+
+def test_weights_from_counts_and_relevant_documents_alone(spark):
+    postings = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "a")], "doc_id long, term string")
+    terms = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "z"), ("r", "c")], "qid string, term string")
+    relevant = spark.createDataFrame([("q", 1), ("q", 3), ("r", 3)], "qid string, doc_id long")
+    n_docs, n_term = spark.createDataFrame([(4,)], "n_docs long"), postings.groupBy("term").agg(F.count("*").alias("n_term"))
+    whole = relevance.term_weights(postings, terms, relevant, n_docs)
+    part = relevance.term_weights(postings.where("doc_id in (1, 3)"), terms, relevant, n_docs, n_term)
+    assert sorted(map(tuple, part.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 4
+
+
 def test_exact_matches(small):
     docs, queries = small
     got = {(r.qid, r.doc_id, r.term): (r.tf, r.qtf, round(r.total, 6), round(r.best, 6)) for r in interact.exact_matches(docs, queries, Table(), pooler="token").collect()}
