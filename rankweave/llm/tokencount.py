@@ -12,7 +12,9 @@ grows beyond `LARGEST` pre-tokens is split, without encoding anything.
 A tree is kept as a row: the text, and the characters and tokens of each leaf
 (`build_trees`). `apply_edits` takes such rows and a table of edits, cuts the
 pre-tokens of the leaves that an edit touches and no others, and gives the rows
-as they then are.
+as they then are. The query writes the trees of all documents, makes a table of
+edits from the written rows, and counts what the edited trees hold and how much
+of them had to be encoded.
 
 Defined cases: a null or empty text has no tokens; a text of any length is one
 tree; edits beyond the end of a text are moved to its end, before its start to
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import table
+from rankweave.llm.shared import table, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens in a leaf, about; characters that cutting may look ahead; pre-tokens whose counts a worker keeps.
@@ -75,7 +77,7 @@ class CountTree:
 
     def __init__(self, text: str | None, path: str, leaves: tuple[list[int], list[int]] | None = None):
         self.cutter, self.counts = coder(path)
-        self.text, self.encoded = text or "", 0
+        self.text, self.encoded, self.encoded_chars = text or "", 0, 0
         if leaves is None:
             pieces = self.cutter.findall(self.text)
             counts = self.counts
@@ -166,6 +168,7 @@ class CountTree:
             last, index = len(self.leaves) - 1, None
         rest = self.leaves[last][index:] if index is not None else []
         self.encoded += len(fresh)
+        self.encoded_chars += sum(map(len, fresh))
         for between in range(leaf + 1, last + 1):
             if self.sizes[between + self.width]:
                 self._set(between, [])
@@ -220,13 +223,16 @@ def _with_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
     """rows, and a last column of all edits of their doc_id."""
     own = edits.where("doc_id is not null").select("doc_id", F.col("edits").cast(EDITS_TYPE).alias("edits to make"))
     own = own.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list("edits to make"))).alias("edits to make"))
-    return rows.join(own, "doc_id", "left").select(*rows.columns, "edits to make")
+    # rows without doc_id, which meet no edits, are spread by their text: joined by null alone they would be one task's
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("spread of it")
+    return rows.select("*", spread).join(own.withColumn("spread of it", F.lit(0).cast("long")), ["doc_id", "spread of it"], "left").select(*rows.columns, "edits to make")
 
 
 def _edits(given: list[dict] | None) -> list[Edit]:
     return [(e["start"], e["end"], e["text"] or "") for e in given or [] if e and e["start"] is not None and e["end"] is not None]
 
 
+TAKEN = ("tokens_before", "n_edits", "n_reencoded", "chars_encoded")
 TREE = "text string, leaf_chars array<int>, leaf_tokens array<int>, tokens long"
 
 
@@ -243,21 +249,31 @@ def build_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def apply_edits(trees: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of build_trees after the edits (doc_id, edits), and n_reencoded, the pre-tokens that these had encoded."""
+    """The rows of build_trees after the edits (doc_id, edits), and what these took.
+
+    tokens_before; n_edits; n_reencoded and chars_encoded: pre-tokens, and
+    their characters, that the edits had encoded.
+    """
     path = path or vocabulary_path()
     rows = _with_edits(trees.select("doc_id", "text", "leaf_chars", "leaf_tokens"), edits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            made, taken = [], []
             for text, chars, tokens, given in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                made.append(CountTree(text, path, (chars, tokens)))
-                for edit in _edits(given):
-                    made[-1].replace(*edit)
+                tree, own = CountTree(text, path, (chars, tokens)), _edits(given)
+                before = tree.total
+                for edit in own:
+                    tree.replace(*edit)
+                made.append(tree)
+                taken.append((before, len(own), tree.encoded, tree.encoded_chars))
             out = _rows(batch.column(0), made)
-            yield out.append_column("n_reencoded", pa.array([t.encoded for t in made], pa.int64()))
+            for at, name in enumerate(TAKEN):
+                out = out.append_column(name, pa.array([t[at] for t in taken], pa.int64()))
+            yield out
 
-    return rows.mapInArrow(run, f"doc_id {trees.schema['doc_id'].dataType.simpleString()}, {TREE}, n_reencoded long")
+    columns = ", ".join(f"{n} long" for n in TAKEN)
+    return rows.mapInArrow(run, f"doc_id {trees.schema['doc_id'].dataType.simpleString()}, {TREE}, {columns}")
 
 
 def _rows(ids: pa.Array, trees: list[CountTree]) -> pa.RecordBatch:
@@ -297,5 +313,33 @@ def count_tokens(docs: DataFrame, edits: DataFrame | None = None, path: str | No
     return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
+def scripted_edits(trees: DataFrame) -> DataFrame:
+    """(doc_id, edits): the edits of `edit_script` for each doc_id of kept trees, by its longest text; texts are not read."""
+    kind = trees.schema["doc_id"].dataType.simpleString()
+    size = F.aggregate("leaf_chars", F.lit(0).cast("long"), lambda a, x: a + x)
+    sizes = trees.where("doc_id is not null").groupBy("doc_id").agg(F.max(size).alias("size"))
+    made = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scripts = [[dict(zip(("start", "end", "text"), e)) for e in edit_script(i, n)] for i, n in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scripts, made)], ["doc_id", "edits"])
+
+    return sizes.mapInArrow(run, f"doc_id {kind}, edits {EDITS_TYPE}")
+
+
+def edited_counts(docs: DataFrame, edits: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """doc_id, tokens_before, tokens_after, n_edits, n_reencoded, chars_encoded, chars_after, n_leaves: one row per document.
+
+    The trees of all documents are written to the shared folder, and the edits
+    (doc_id, edits), those of `scripted_edits` where none are given, are
+    applied to the written rows. chars_encoded against n_edits * chars_after is
+    what keeping the tree saves over encoding the text after each edit.
+    """
+    trees = written(build_trees(docs, path), "trees")
+    after = apply_edits(trees, scripted_edits(trees) if edits is None else edits, path)
+    return after.select("doc_id", "tokens_before", F.col("tokens").alias("tokens_after"), *TAKEN[1:], F.length("text").cast("long").alias("chars_after"), F.size("leaf_chars").cast("long").alias("n_leaves"))
+
+
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"))
+    return edited_counts(table(spark, sf_dir, "documents"))

@@ -43,6 +43,29 @@ def test_query_matches_brute_force(docs):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+def test_kept_trees_match_brute_force(spark, docs, none):
+    _, counts = tc.coder(PATH)
+    size = lambda t: len(counts.encoding.encode_ordinary(t))
+    clash = spark.createDataFrame([(4, "another text of the same id"), (None, "no id"), (None, "no id")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(clash)
+    held = rows.collect()
+    longest = {}
+    for r in held:
+        longest[r.doc_id] = max(longest.get(r.doc_id, 0), len(r.text or ""))
+    expected = []
+    for r in held:
+        text = r.text or ""
+        script = [] if r.doc_id is None else tc.edit_script(r.doc_id, longest[r.doc_id])
+        for start, end, new in script:
+            text = text[:start] + new + text[end:]
+        expected.append((r.doc_id, size(r.text or ""), size(text), len(script), len(text)))
+    got = tc.edited_counts(rows).collect()
+    assert sorted([(r.doc_id, r.tokens_before, r.tokens_after, r.n_edits, r.chars_after) for r in got], key=str) == sorted(expected, key=str)
+    long = [r for r in got if r.chars_after > 10_000 and r.n_edits]
+    assert long and all(r.chars_encoded < 0.05 * r.n_edits * r.chars_after for r in long)
+    assert tc.edited_counts(none).count() == 0
+
+
 def test_given_edits(spark, docs):
     edits = spark.createDataFrame([(4, [(0, 3, "x"), (1, 2, "yy y")])], "doc_id long, edits array<struct<start: int, end: int, text: string>>")
     got = {r.doc_id: r for r in tc.count_tokens(docs.where("doc_id in (4, 6)"), edits).collect()}
