@@ -12,9 +12,10 @@ grows beyond `LARGEST` pre-tokens is split, without encoding anything.
 A tree is kept as a row: the text, and the characters and tokens of each leaf
 (`build_trees`). `apply_edits` takes such rows and a table of edits, cuts the
 pre-tokens of the leaves that an edit touches and no others, and gives the rows
-as they then are. The query writes the trees of all documents, makes a table of
-edits from the written rows, and counts what the edited trees hold and how much
-of them had to be encoded.
+as they then are. The query writes the trees of all documents, has each written
+row meet a script of edits, and counts what the edited trees hold and how much
+of them had to be encoded. With a table of edits, rows are joined with it by
+doc_id, for which Spark shuffles the texts unless the table is small.
 
 Defined cases: a null or empty text has no tokens; a text of any length is one
 tree; edits beyond the end of a text are moved to its end, before its start to
@@ -248,20 +249,24 @@ def build_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {TREE}")
 
 
-def apply_edits(trees: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of build_trees after the edits (doc_id, edits), and what these took.
+def apply_edits(trees: DataFrame, edits: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """The rows of build_trees after the edits (doc_id, edits), or each row's `edit_script`, and what these took.
 
     tokens_before; n_edits; n_reencoded and chars_encoded: pre-tokens, and
     their characters, that the edits had encoded.
     """
     path = path or vocabulary_path()
-    rows = _with_edits(trees.select("doc_id", "text", "leaf_chars", "leaf_tokens"), edits)
+    rows = trees.select("doc_id", "text", "leaf_chars", "leaf_tokens")
+    scripted = edits is None
+    rows = rows if scripted else _with_edits(rows, edits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made, taken = [], []
-            for text, chars, tokens, given in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                tree, own = CountTree(text, path, (chars, tokens)), _edits(given)
+            given = None if scripted else batch.column(4).to_pylist()
+            for row, (doc_id, text, chars, tokens) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
+                tree = CountTree(text, path, (chars, tokens))
+                own = edit_script(doc_id, len(tree.text)) if given is None else _edits(given[row])
                 before = tree.total
                 for edit in own:
                     tree.replace(*edit)
@@ -313,31 +318,15 @@ def count_tokens(docs: DataFrame, edits: DataFrame | None = None, path: str | No
     return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
-def scripted_edits(trees: DataFrame) -> DataFrame:
-    """(doc_id, edits): the edits of `edit_script` for each doc_id of kept trees, by its longest text; texts are not read."""
-    kind = trees.schema["doc_id"].dataType.simpleString()
-    size = F.aggregate("leaf_chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    sizes = trees.where("doc_id is not null").groupBy("doc_id").agg(F.max(size).alias("size"))
-    made = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scripts = [[dict(zip(("start", "end", "text"), e)) for e in edit_script(i, n)] for i, n in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scripts, made)], ["doc_id", "edits"])
-
-    return sizes.mapInArrow(run, f"doc_id {kind}, edits {EDITS_TYPE}")
-
-
 def edited_counts(docs: DataFrame, edits: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """doc_id, tokens_before, tokens_after, n_edits, n_reencoded, chars_encoded, chars_after, n_leaves: one row per document.
 
-    The trees of all documents are written to the shared folder, and the edits
-    (doc_id, edits), those of `scripted_edits` where none are given, are
+    The trees of all documents are written to the shared folder, and edits are
     applied to the written rows. chars_encoded against n_edits * chars_after is
     what keeping the tree saves over encoding the text after each edit.
     """
     trees = written(build_trees(docs, path), "trees")
-    after = apply_edits(trees, scripted_edits(trees) if edits is None else edits, path)
+    after = apply_edits(trees, edits, path)
     return after.select("doc_id", "tokens_before", F.col("tokens").alias("tokens_after"), *TAKEN[1:], F.length("text").cast("long").alias("chars_after"), F.size("leaf_chars").cast("long").alias("n_leaves"))
 
 
