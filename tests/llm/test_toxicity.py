@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import zlib
 
@@ -33,6 +35,84 @@ def test_features_of_words():
     assert not x[1].any() and not x[2].any() and x[3, names.index("entries")] == 0
 
 
+def plain_tree(bins, slope, curve, splits, rows, node=0, level=0):
+    """Checks each split against all others tried one by one; (leaf, rows) of the tree."""
+    if level == toxicity.LEVELS:
+        return [(node - (2**level - 1), rows)]
+    worth = lambda r: slope[r].sum() ** 2 / (curve[r].sum() + toxicity.PENALTY)
+    gains = {}
+    for feature in range(bins.shape[1]):
+        for bound in range(toxicity.BINS):
+            low = bins[rows, feature] <= bound
+            if min(low.sum(), (~low).sum()) >= toxicity.LEAST_LEAF:
+                gains[feature, bound] = worth(rows[low]) + worth(rows[~low]) - worth(rows)
+    feature, bound = splits[node]
+    if not gains or max(gains.values()) < 1e-9:
+        assert bound == toxicity.BINS  # all rows go left
+    else:
+        assert gains[feature, bound] > max(gains.values()) - 1e-7
+    low = bins[rows, feature] <= bound
+    out = []
+    for child, own in ((2 * node + 1, rows[low]), (2 * node + 2, rows[~low])):
+        out += plain_tree(bins, slope, curve, splits, own, child, level + 1)
+    return out
+
+
+def test_trees_against_trying_every_split():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=300), rng.integers(0, 3, 300), np.zeros(300), rng.random(300)]).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-2 * x[:, 0] + x[:, 1]))).astype(float)
+    trees = toxicity.boost(x, y)
+    bins = np.array([[sum(e < v for e in edges) for v, edges in zip(row, trees.edges)] for row in x])
+    score = np.full(300, math.log(y.mean() / (1 - y.mean())))
+    for splits, leaves in zip(trees.splits, trees.leaves):
+        p = 1 / (1 + np.exp(-score))
+        slope, curve = y - p, p * (1 - p)
+        for leaf, rows in plain_tree(bins, slope, curve, splits, np.arange(300)):
+            value = toxicity.RATE * slope[rows].sum() / (curve[rows].sum() + toxicity.PENALTY)
+            assert math.isclose(value, leaves[leaf], abs_tol=1e-9)
+            score[rows] += value
+    assert np.allclose(trees.raw(x), score)
+
+
+def test_isotonic_against_minima_of_maxima():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        score, y = rng.permutation(30).astype(float), rng.integers(0, 2, 30).astype(float)
+        points, values = toxicity.isotonic(score, y)
+        own = y[np.argsort(score)]
+        best = [max(min(own[i : j + 1].mean() for j in range(at, 30)) for i in range(at + 1)) for at in range(30)]
+        sizes = [len(list(same)) for _, same in itertools.groupby(np.round(best, 9))]
+        means = [v for v, _ in itertools.groupby(np.round(best, 9))]
+        assert np.allclose(values, [(n * m + 0.5) / (n + 1) for n, m in zip(sizes, means)])
+        ends = np.cumsum(sizes)
+        assert np.allclose(points, [np.sort(score)[e - n : e].mean() for e, n in zip(ends, sizes)])
+
+
+def test_features_against_plain_counts():
+    rng = random.Random(9)
+    words = ["you", "YOU", "idiot", "1d10t!", "Zorgling", "fine", "tree!!", "soooo", "ABC", "$$$", "7", "tu", "what?", "ünï"]
+    odds = {"zorg-": 2.5, "fine": 1.75}
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(100)]
+    found = toxicity.Lexicon(dict(odds)).features(texts)
+    for text, row in zip(texts, found):
+        got, own, size = dict(zip(toxicity.NAMES, row.tolist())), text.split(), len(text.encode())
+        weigh = {"Zorgling": 2.5, "fine": 1.75}
+        hits = [i for i, w in enumerate(own) if w in weigh or w == "idiot"]
+        second = [i for i, w in enumerate(own) if w.lower() in ("you", "tu")]
+        near = [min(abs(i - j) for j in second) <= toxicity.NEAR for i in hits] if second else []
+        letters = [c for c in text if c.isascii() and c.isalpha()]
+        assert math.isclose(got["n_words"], math.log1p(len(own))) and math.isclose(got["insults"], own.count("idiot") / len(own))
+        assert math.isclose(got["entries"], sum(weigh.get(w, 0) for w in own) / len(own))
+        assert got["strongest"] == max(weigh.get(w, 0) for w in own) and math.isclose(got["entry_words"], math.log1p(len(hits)))
+        assert math.isclose(got["near_second"], sum(near) / len(hits) if hits else 0) and math.isclose(got["second"], len(second) / len(own))
+        assert math.isclose(got["capitals"], sum(c.isupper() for c in letters) / max(1, len(letters)))
+        assert math.isclose(got["shouted"], sum(w in ("YOU", "ABC") for w in own) / len(own)) and math.isclose(got["stretched"], own.count("soooo") / len(own))
+        assert math.isclose(got["exclaimed"], text.count("!") / size) and math.isclose(got["asked"], text.count("?") / size)
+        assert math.isclose(got["symbols"], text.count("$") / size) and math.isclose(got["digits"], sum(c.isdigit() for c in text) / size)
+        assert math.isclose(got["obfuscated"], own.count("1d10t!") / len(own)) and math.isclose(got["hidden"], own.count("1d10t!") / len(own))
+
+
 def made(spark, n=900):
     rng = random.Random(8)
     docs, labels = [], []
