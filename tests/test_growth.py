@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from rankweave.functions import batches
-from rankweave.operators import encode
+from rankweave.operators import encode, interact, pooling, sparse, stats
 
 
 class Counted(dict):
@@ -36,3 +36,66 @@ def test_slices_keep_all_rows_in_order():
     parts = list(batches.slices(iter([batch, batch.slice(0, 0)]), 4))
     assert [p.num_rows for p in parts] == [4, 4, 2]
     assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(10))
+
+
+def sample(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "c"]), (2, []), (3, ["b", "d", "b"]), (4, ["x"]), (5, ["c", "a"] * 40)], "doc_id long, tokens array<string>")
+    queries = spark.createDataFrame([(7, ["a", "b", "b"]), (8, ["d", "q"]), (9, [])], "qid long, tokens array<string>")
+    return docs, queries, encode.VocabularyEncoder(np.random.default_rng(5).normal(size=(11, 4)))
+
+
+def test_corpus_scores_of_blocks_are_those_of_matches(spark, monkeypatch):
+    docs, queries, own = sample(spark)
+    matches = interact.exact_matches(docs, queries, own)
+    want = interact.scored(matches, interact.query_term_idf(docs, queries), stats.summary(docs))
+    want = {(r.qid, r.doc_id): round(r.maxsim_bm25_qtf, 6) for r in want.collect()}
+    for held in (interact.HELD, 8):
+        monkeypatch.setattr(interact, "HELD", held)
+        got = {(r.qid, r.doc_id): r.score for r in interact.corpus_top_k(docs, queries, own, 10).collect()}
+        assert got.keys() == want.keys() and all(abs(got[key] - want[key]) < 2e-6 for key in want)
+
+
+def test_digests_are_those_of_token_vectors(spark):
+    docs, _, own = sample(spark)
+    for pooler in encode.POOLERS:
+        want = {(r.doc_id, r.pos, r.term): np.array(r.vec) for r in encode.token_vectors(docs, own, pooler=pooler).collect()}
+        got = {(r.doc_id, r.pos, r.term): (r.total, r.spread, r.square) for r in encode.token_digests(docs, own, pooler=pooler).collect()}
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[key], (v.sum(), v @ [1, 2, 3, 4], v @ v)) for key, v in want.items())
+
+
+def test_weights_of_documents_need_no_shuffle(spark):
+    docs, _, own = sample(spark)
+    for how in ("max", "mean"):
+        want = {(r.doc_id, r.term): r.weight for r in sparse.document_weights(docs, own, how).collect()}
+        rows = sparse.document_weights(docs, own, how, repeated=False)
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        for got in ({(r.doc_id, r.term): r.weight for r in rows.collect()}, {(r.doc_id, t): w for r in sparse.document_weights(docs, own, how, repeated=False, gathered=True).collect() for t, w in zip(r.term, r.weight)}):
+            assert got.keys() == want.keys() and all(abs(got[key] - want[key]) < 1e-12 for key in want)
+    assert stats.repeated(docs.union(docs)) and not stats.repeated(docs)
+
+
+def test_postings_are_sums_of_token_vectors(spark):
+    docs, _, own = sample(spark)
+    want: dict = {}
+    for r in encode.token_vectors(docs, own).collect():
+        n, total = want.get((r.doc_id, r.term), (0, 0.0))
+        want[r.doc_id, r.term] = n + 1, total + sum(r.vec)
+    got = {(r.doc_id, r.term): (r.n, r.total) for r in encode.document_terms(docs, own, "postings").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[key], want[key]) for key in want)
+
+
+def test_candidates_travel_to_the_documents(spark):
+    docs, _, _ = sample(spark)
+    rows = interact.asked_for(docs, spark.createDataFrame([(7, 1), (8, 1), (7, 5)], "qid long, doc_id long"))
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: sorted(r.wanted) for r in rows.collect()} == {1: [7, 8], 5: [7]}
+
+
+def test_bm25_means_of_frequent_and_rare_terms(spark):
+    docs, _, own = sample(spark)
+    want = {r.doc_id: r.vec for r in pooling.bm25_means(docs, own).collect()}
+    assert want.keys() == {1, 3, 4, 5}
+    for frequent in (1, 3, 100):
+        got = {r.doc_id: r.vec for r in pooling.bm25_means(docs, own, repeated=False, frequent=frequent).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[key], want[key]) for key in want)
