@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 from rankweave.functions import batches
 from rankweave.operators import encode, interact, pooling, sparse, stats
+from rankweave.plans import context
 
 
 class Counted(dict):
@@ -99,3 +101,22 @@ def test_bm25_means_of_frequent_and_rare_terms(spark):
     for frequent in (1, 3, 100):
         got = {r.doc_id: r.vec for r in pooling.bm25_means(docs, own, repeated=False, frequent=frequent).collect()}
         assert got.keys() == want.keys() and all(np.allclose(got[key], want[key]) for key in want)
+
+
+def test_a_file_of_one_row_group_is_dealt_over_all_cores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(context, "SMALL", 1 << 10)
+    rows = pa.table({"doc_id": list(range(4000)), "text": [f"word {i} " * 5 if i % 7 else None for i in range(4000)]})
+    pq.write_table(rows, tmp_path / "one.parquet")
+    pq.write_table(rows, tmp_path / "many.parquet", row_group_size=100)
+    cores = spark.sparkContext.defaultParallelism
+    one = context.spread(spark.read.parquet(str(tmp_path / "one.parquet")))
+    tasks = [len(part) for part in one.rdd.glom().collect()]
+    assert sum(n > 0 for n in tasks) >= cores and max(tasks) * cores < 2 * sum(tasks)
+    assert sorted((r.doc_id, r.text) for r in one.collect()) == sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", (tmp_path / "many.parquet").stat().st_size // (4 * cores))
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        assert "Exchange" not in context.spread(spark.read.parquet(str(tmp_path / "many.parquet")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
