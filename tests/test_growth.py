@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from rankweave.functions import batches
-from rankweave.operators import encode, interact, pooling, sparse, stats
+from rankweave.operators import encode, interact, pooling, retrieve, sparse, stats
 from rankweave.plans import context
 
 
@@ -120,3 +120,22 @@ def test_a_file_of_one_row_group_is_dealt_over_all_cores(spark, tmp_path, monkey
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lists_of_tokens_without_a_python_string_a_place():
+    whole = pa.array([["x"], ["a", "b", "a"], [], ["ß", "b"], ["a"]], pa.list_(pa.string()))
+    for lists in (whole, whole.slice(1, 3), whole.slice(2, 1), pa.array([["a", None], None], pa.list_(pa.string()))):
+        assert batches.token_lists(lists) == lists.to_pylist()
+    first, _, again = batches.token_lists(whole.slice(1, 1))[0]
+    assert first is again
+    row, term, n = batches.term_counts_of(whole.slice(1, 4), pa.array(["b", "a", "q"]))
+    assert list(zip(row.tolist(), term.tolist(), n.tolist())) == [(0, 0, 1), (0, 1, 2), (2, 0, 1), (3, 1, 1)]
+    assert not len(batches.term_counts_of(whole, pa.array([], pa.string()))[0])
+
+
+def test_bm25_of_parts_of_a_block_is_that_of_joins(spark, monkeypatch):
+    docs, queries, _ = sample(spark)
+    want = {(r.qid, r.doc_id): (r.score, r["rank"]) for r in retrieve.bm25(docs, queries, 10, method="relational").collect()}
+    for most in (retrieve.PAIRS, 1, 3):
+        monkeypatch.setattr(retrieve, "PAIRS", most)
+        assert {(r.qid, r.doc_id): (r.score, r["rank"]) for r in retrieve.bm25(docs, queries, 10).collect()} == want
