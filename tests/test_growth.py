@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 
 from rankweave.functions import batches
 from rankweave.operators import encode, interact, pooling, retrieve, sparse, stats
-from rankweave.plans import context
+from rankweave.plans import catalog, context
 
 
 class Counted(dict):
@@ -139,3 +139,9 @@ def test_bm25_of_parts_of_a_block_is_that_of_joins(spark, monkeypatch):
     for most in (retrieve.PAIRS, 1, 3):
         monkeypatch.setattr(retrieve, "PAIRS", most)
         assert {(r.qid, r.doc_id): (r.score, r["rank"]) for r in retrieve.bm25(docs, queries, 10).collect()} == want
+
+
+def test_stems_are_made_on_all_cores(spark):
+    rows = catalog.queries()["stemmed_tokens"](spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
