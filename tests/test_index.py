@@ -46,6 +46,32 @@ def test_index_finds_what_a_full_search_finds(texts, tmp_path, kind, k, block, s
         assert counts.scored < counts.blocks
 
 
+def test_index_search_exchanges_no_pairs_and_leaves_blocks_out(texts, tmp_path):
+    docs, queries = texts
+    index = postings.build(docs, str(tmp_path / "index"), block_docs=16)
+    want = index.search(queries, 4, method="relational").collect()
+    got = index.search(queries, 4).collect()
+    key = lambda r: (r.qid, r["rank"], r.doc_id, r.score)
+    assert len(want) > 20 and same(map(key, got), map(key, want))
+    # a task puts out no more than its best, not a row for each query and document or block
+    rows = index._by_kernel(queries, 4)
+    per_task = rows.groupBy(F.spark_partition_id(), "qid").count().agg(F.max("count")).first()[0]
+    assert per_task <= 4
+    # rows of a block that are cut by batches come together again, and blocks that cannot enter are not scored
+    batch = pa.Table.from_pandas(index.read("blocks").toPandas().sort_values(["block", "term"], kind="stable"), preserve_index=False).combine_chunks().to_batches()[0]
+    blocks = list(postings.whole_blocks(batch.slice(low, 7) for low in range(0, batch.num_rows, 7)))
+    assert [len(set(b.column("block").to_pylist())) for b in blocks] == [1] * len(set(batch.column("block").to_pylist()))
+    wanted = index.wanted(queries).withColumnRenamed("share", "q_weight")
+    (group,) = retrieve.vector_groups(wanted)
+    scorer, every = postings.BlockScorer(group), postings.BlockScorer(group)
+    best = Best(scorer.qids, pa.int64(), 4)
+    for block in blocks:
+        list(scorer.add(block, best, 4))
+        list(every.add(block, Best(scorer.qids, pa.int64(), 4), 4))
+    found = [tuple(r.values()) for b in best.rest() for r in b.to_pylist()]
+    assert same(found, [(r.qid, r.doc_id, r.score) for r in want]) and scorer.scored < every.scored
+
+
 def test_blocks_and_files_are_bounded(texts, tmp_path):
     docs, _ = texts
     docs.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # files this small would be one
