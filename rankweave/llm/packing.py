@@ -26,6 +26,7 @@ import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -82,6 +83,11 @@ class WordIds:
         self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
         self.known = _Words()
 
+    def _unknown(self, words: set[bytes]) -> list[bytes]:
+        """Those that are not kept; a difference of sets would walk through all that are."""
+        known = self.known
+        return [w for w in words if w not in known]
+
     def _encode_each(self, words: list[bytes]) -> dict[bytes, bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return {word: np.array(coded.ids, dtype="<u4").tobytes() for word, coded in zip(words, found)}
@@ -89,21 +95,20 @@ class WordIds:
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         bodies = {w: b for w in words if len(b := w.rstrip(self.PUNCTUATION)) < len(w) and b[-1:].isalnum()}
         tails = {w: w[len(b) :] for w, b in bodies.items()}
-        whole = {*bodies.values(), *tails.values(), *(w for w in words if w not in bodies)} - self.known.keys()
-        plain, found = [], {}
-        for word in whole:
-            if self.LETTERS.fullmatch(text := word.decode()):
-                plain.append((word, text))
+        whole = self._unknown({*bodies.values(), *tails.values(), *(w for w in words if w not in bodies)})
+        plain, found = [w for w in whole if w.isalpha() or (not w.isascii() and self.LETTERS.fullmatch(w.decode()))], {}
         for low in range(0, len(plain), 1024):
             some = plain[low : low + 1024]
-            coded = self.tokenizer.encode_batch_fast([" ".join([text for _, text in some])], add_special_tokens=False)[0].ids
+            coded = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids
             ids = np.array(coded, dtype="<u4")
             at, raw = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
             if len(at) == len(some):
-                found.update(zip([word for word, _ in some], (raw[a:b] for a, b in zip([0, *at], at))))
+                found.update(zip(some, [raw[a:b] for a, b in zip([0, *at], at)]))
         found |= self._encode_each([w for w in whole if w not in found])
-        get = lambda w: found[w] if w in found else self.known[w]
-        return found | {w: get(b) + get(tails[w]) for w, b in bodies.items()}
+        known = self.known
+        known.batch = found
+        found |= {w: known[b] + known[tails[w]] for w, b in bodies.items()}
+        return found
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers; no special tokens are added."""
@@ -111,11 +116,11 @@ class WordIds:
         between = [part for own in parts.values() for part in own[::2]]
         split = [(t or "").encode().lower().split() if k not in parts else [] for k, t in enumerate(texts)]
         split += [part.encode().lower().split() for part in between]
-        new = self._encode(list(set().union(*split) - self.known.keys()))
+        new = self._encode(self._unknown(set().union(*split)))
         self.known.batch = new
         if len(self.known) < CACHED_WORDS:
             self.known.update(new)
-        ids = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        ids = [b"".join(itemgetter(*words)(self.known)) if len(words) > 1 else b"".join(map(self.known.__getitem__, words)) for words in split]
         rest = iter(ids[len(texts) :])
         for k, own in parts.items():
             ids[k] = b"".join(self.special_ids[part] if at % 2 else next(rest) for at, part in enumerate(own))

@@ -109,3 +109,22 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
 
 def test_empty(none):
     assert packing.pack_documents(none).count() == 0
+
+
+class Walked(packing._Words):
+    """Tells whether its words are walked through."""
+
+    walked = 0
+
+    def keys(self):
+        self.walked += 1
+        return super().keys()
+
+
+def test_known_words_are_not_walked_through():
+    own = packing.WordIds(packing.tokenizer_path())
+    own.known = Walked()
+    texts = ["Plain words, naïve ones; odd-ones (x1) 42.", "more words, more NAÏVE ones?!", "one", "", None, "<|endoftext|> x"]
+    for _ in range(2):
+        assert [[*np.frombuffer(ids, "<u4"), 0] for ids in own.of(texts)] == reference_ids(texts)
+    assert own.known.walked == 0 and own.known
