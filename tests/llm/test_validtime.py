@@ -128,3 +128,15 @@ def test_empty(spark):
     got = validtime.enriched(spark.createDataFrame([], SALES), spark.createDataFrame([], CHANGES), batches=1)
     assert got.collect() == []
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != validtime.STATE["spark.sql.streaming.stateStore.providerClass"]
+
+
+def test_state_of_a_batch_does_not_stay_open(spark, monkeypatch):
+    """A start reads its state once; stores left open until maintenance finds them add up over starts and partitions."""
+    jvm = spark.sparkContext._jvm
+    stores = getattr(getattr(jvm.org.apache.spark.sql.execution.streaming.state, "StateStore$"), "MODULE$")
+    held = stores.getClass().getDeclaredField("loadedProviders")
+    held.setAccessible(True)
+    before = held.get(stores).size()
+    sales, changes = made(3, 60, 5)
+    out = validtime.enriched(spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES), batches=2)
+    assert out.count() and held.get(stores).size() <= before
