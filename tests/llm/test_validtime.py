@@ -140,3 +140,15 @@ def test_state_of_a_batch_does_not_stay_open(spark, monkeypatch):
     sales, changes = made(3, 60, 5)
     out = validtime.enriched(spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES), batches=2)
     assert out.count() and held.get(stores).size() <= before
+
+
+def test_no_more_starts_than_batches(spark, monkeypatch):
+    """Each start leaves the statistics of its state stores behind in the executors; the last batch's lets all waiting sales go too."""
+    starts, real = [], validtime._stages
+    monkeypatch.setattr(validtime, "_stages", lambda *a: starts.append(1) or real(*a))
+    sales, changes = made(3, 60, 5)
+    got = validtime.enriched(spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES), batches=2)
+    rows = sorted(map(tuple, got.collect()), key=str)
+    assert rows == brute(sales, changes, batches=2)
+    assert {1, 2} <= {r[2] for r in rows if r[0] == "sale"}
+    assert len(starts) == 2
