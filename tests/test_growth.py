@@ -145,3 +145,33 @@ def test_stems_are_made_on_all_cores(spark):
     rows = catalog.queries()["stemmed_tokens"](spark, "/root/testdata/sf0.001")
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_tokens_are_kept_on_disk_in_one_string(spark):
+    docs, _, _ = sample(spark)
+    back = stats.parted(stats.joined(docs))
+    assert back.schema["tokens"].dataType == docs.schema["tokens"].dataType
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, docs.collect()))
+    c = context.Collection(spark, FOLDER)
+    plan = c.darr._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation [doc_id#" in plan and "line#" in plan and "StorageLevel(disk, 1 replicas)" in plan
+    assert sorted(map(tuple, c.darr.collect())) == sorted(map(tuple, c.read_once.collect()))
+
+
+def test_texts_travel_in_small_batches_unless_the_session_names_a_number(spark):
+    name, rows = context.TEXTS
+    named = spark.conf.getAll.get(name)
+    spark.conf.unset(name)
+    try:
+        context.collection(spark, FOLDER)
+        assert int(spark.conf.get(name)) == rows
+        sizes = spark.range(5000, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+        assert max(r.n for r in sizes) <= rows
+        spark.conf.set(name, 77)
+        context.collection(spark, FOLDER)
+        assert spark.conf.get(name) == "77"
+    finally:
+        spark.conf.unset(name) if named is None else spark.conf.set(name, named)
