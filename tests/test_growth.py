@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.parquet as pq
 
 from rankweave.functions import batches
-from rankweave.operators import encode, interact, pooling, retrieve, sparse, stats
+from rankweave.operators import dense, encode, index, interact, pooling, retrieve, sparse, stats
 from rankweave.plans import catalog, context
 
 
@@ -175,3 +176,35 @@ def test_texts_travel_in_small_batches_unless_the_session_names_a_number(spark):
         assert spark.conf.get(name) == "77"
     finally:
         spark.conf.unset(name) if named is None else spark.conf.set(name, named)
+
+
+def test_vectors_of_a_local_folder_are_mapped_and_not_held(spark, monkeypatch):
+    own = np.random.default_rng(3).normal(size=(50, 4)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)], "vec_id long, embedding array<float>").repartition(4)
+    words = [f"w{i}" for i in range(200)] + ["w7", "w3"]
+    want = encode.VocabularyEncoder(own).encode(words)
+    filed = encode.VocabularyEncoder.from_table(table, 10)
+    assert np.array_equal(filed.encode(words), want) and not filed.met
+    assert filed.encode([]).shape == (0, 4)
+    monkeypatch.setattr(encode.fs, "LocalFileSystem", encode.fs.S3FileSystem)
+    filed._forget()
+    assert np.array_equal(filed.encode(words), want) and filed.met
+
+
+def test_a_task_cuts_its_best_before_it_holds_many():
+    n, k, docs = 1000, 100, 200
+    best, most, rng = dense.Best(pa.array(range(n)), pa.int64(), k), 0, np.random.default_rng(2)
+    blocks = [np.round(rng.normal(size=(n, docs)) + i, 6) for i in range(10)]
+    for i, scores in enumerate(blocks):
+        assert not list(best.add(scores, pa.array(range(i * docs, (i + 1) * docs))))
+        most = max(most, best.held)
+    assert most <= 2 * n * k + dense.SPARE + n * k
+    got = pa.Table.from_batches(best.rest())
+    whole = np.concatenate(blocks, axis=1)
+    assert got.num_rows == n * k
+    assert sorted(got.filter(pyarrow.compute.equal(got["qid"], 5))["score"].to_pylist()) == sorted(np.sort(whole[5])[-k:].tolist())
+
+
+def test_a_plan_of_one_pass_keeps_no_tokens(spark):
+    rows = index.scatter_maps(context.Collection(spark, FOLDER).dstream)
+    assert "InMemoryRelation" not in rows._jdf.queryExecution().withCachedData().toString()
