@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from rankweave.functions import batches
-from rankweave.operators import dense, encode, index, interact, pooling, retrieve, sparse, stats
+from rankweave.functions import batches, vectors
+from rankweave.operators import codec, dense, encode, index, interact, pooling, retrieve, sparse, stats
 from rankweave.plans import catalog, context
 
 
@@ -208,3 +209,21 @@ def test_a_task_cuts_its_best_before_it_holds_many():
 def test_a_plan_of_one_pass_keeps_no_tokens(spark):
     rows = index.scatter_maps(context.Collection(spark, FOLDER).dstream)
     assert "InMemoryRelation" not in rows._jdf.queryExecution().withCachedData().toString()
+
+
+def test_bits_of_packed_codes_are_made_once_a_row(spark):
+    rows = spark.createDataFrame([(1, [0, 3, 1, 2]), (3, None)], "id long, codes array<int>")
+    held = rows.select("id", codec.packed(F.col("codes"), 2).alias("held"))
+    assert held._jdf.queryExecution().analyzed().toString().count("codes#") == rows._jdf.queryExecution().analyzed().toString().count("codes#") + 1
+    back = held.select("id", codec.unpacked(F.col("held"), 2).alias("codes"))
+    assert [tuple(r) for r in held.orderBy("id").collect()] == [(1, "39"), (3, None)]
+    none = spark.createDataFrame([("",)], "held string").select(codec.unpacked(F.col("held"), 2).alias("codes"))
+    assert none.first().codes == []
+    assert [tuple(r) for r in back.orderBy("id").collect()] == [(1, [0, 3, 1, 2]), (3, None)]
+
+
+def test_a_vector_and_its_length_are_made_once_a_row(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "id long, vec array<float>")
+    unit = rows.select("id", vectors.normalized(F.col("vec")).alias("unit"))
+    assert unit._jdf.queryExecution().analyzed().toString().count("vec#") == rows._jdf.queryExecution().analyzed().toString().count("vec#") + 1
+    assert [tuple(r) for r in unit.orderBy("id").collect()] == [(1, [0.6, 0.8]), (2, [0.0, 0.0]), (3, None)]
